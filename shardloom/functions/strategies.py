@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,7 +178,9 @@ class DateStrategy:
             when = F.coalesce(when, wrong)
         elif isinstance(kind, (T.IntegerType, T.LongType)):
             # seconds since the epoch as a wall clock of UTC, whatever the session's zone
-            when = F.timestampadd("SECOND", key.cast("bigint"), F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"))
+            second = F.pmod(key.cast("bigint"), F.lit(86_400))
+            day = ((key.cast("bigint") - second) / 86_400).cast("int")
+            when = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(day, F.lit(0), F.lit(0), second)
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             when = key
         else:
@@ -241,7 +244,7 @@ class PaddedModulo:
 
     def expr(self, key, kind):
         if isinstance(kind, T.StringType):
-            number = F.coalesce(F.when(key.rlike(r"^[+-]?[0-9]+\z"), F.expr("NULL") if key is None else key.try_cast("bigint")), F.crc32(key))
+            number = F.coalesce(F.when(key.rlike(r"^[+-]?[0-9]+\z"), key.try_cast("bigint")), F.crc32(key))
         elif isinstance(kind, (T.IntegerType, T.LongType)):
             number = key.cast("bigint")
         else:
@@ -276,8 +279,6 @@ class CustomStrategy:
     def expr(self, key, kind):
         if self.native is not None:
             return self.native(key)
-        import pandas as pd
-
         function = self.function
 
         def place(values: pd.Series) -> pd.Series:

@@ -19,6 +19,8 @@ SHINGLE = 3
 BLOCK_WORDS = 1_000_000
 #: Extra words (page headers, paragraph numbers) and missing words that a connected stretch may hold at one place.
 DOC_GAP, ITEM_GAP = 24, 8
+#: What a strange word between two matching pieces costs, in matching words: short pieces far apart are no stretch.
+STRANGE = 0.5
 #: How far places may drift along a stretch of an item's length, in words.
 DRIFT = 48
 #: Documents matched at once by a task.
@@ -112,14 +114,14 @@ def stretch(item: np.ndarray, doc: np.ndarray):
     if not pairs:
         return 0, 0, 0, 0
     p, q = np.array(pairs, dtype=np.int64).T
-    best, prev = np.full(len(p), SHINGLE, np.int64), np.full(len(p), -1, np.int64)
+    best, prev = np.full(len(p), float(SHINGLE)), np.full(len(p), -1, np.int64)
     low = np.searchsorted(p, p - DOC_GAP - SHINGLE)
     for j in range(len(p)):
         a = slice(low[j], j)
         dp, dq = p[j] - p[a], q[j] - q[a]
         ok = (dp > 0) & (dq > 0) & (dq <= ITEM_GAP + SHINGLE) & ((dp == dq) | (np.minimum(dp, dq) >= SHINGLE))
         if ok.any():
-            gain = np.where(ok, best[a] + np.minimum(dq, SHINGLE), -1)
+            gain = np.where(ok, best[a] + np.minimum(dq, SHINGLE) - STRANGE * np.maximum(0, dp - dq), -1)
             k = int(np.argmax(gain))
             if gain[k] > best[j]:
                 best[j], prev[j] = gain[k], low[j] + k
@@ -141,6 +143,12 @@ def stretch(item: np.ndarray, doc: np.ndarray):
     return int(q[last] + SHINGLE - q[j]) + left + right, matched + left + right, int(p[j]) - left, int(p[last]) + SHINGLE - 1 + right
 
 
+def is_case(item_words: int, spanned: int, matched: int, doc_words: int, share: float) -> bool:
+    """Whether a stretch spans enough of the item, three quarters of the words it spans are equal, and at least half of
+    the words between its ends in the document are the item's."""
+    return spanned >= share * item_words and 4 * matched >= 3 * spanned and 2 * matched >= doc_words
+
+
 def _spread(start, n):
     """Indices start[i] ... start[i]+n[i]-1, one after another."""
     return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -190,7 +198,8 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     ``matched_words``, ``coverage`` (spanned / item words), ``first_word``, ``last_word`` (places in the document).
 
     A pair is found if one connected stretch of the document spans at least ``share`` of the item's words in their order
-    and at least three quarters of the words it spans are equal. ``intact`` bounds the candidate search: of the shingles
+    and at least three quarters of the words it spans are equal; of the document's words between its ends at least half
+    must be the item's. ``intact`` bounds the candidate search: of the shingles
     of such a stretch that share must be undamaged. Blanked words (``____``) are no words.
 
     Cases: null or empty texts and passages without three words match nothing; a passage that stands several times in a
@@ -284,7 +293,7 @@ def _one_block(source: DataFrame, block: ItemBlock, out: T.StructType, share: fl
                     item = b.words[i]
                     a = max(0, first - len(item) - DRIFT)
                     spanned, matched, s, e = stretch(item, ids[d][a : last + len(item) + DRIFT])
-                    if spanned >= share * len(item) and 4 * matched >= 3 * spanned:
+                    if is_case(len(item), spanned, matched, e - s + 1, share):
                         rows.append((d, b.ids[i], len(item), spanned, matched, spanned / len(item), a + s, a + e))
                 if rows:
                     d, *rest = zip(*rows)

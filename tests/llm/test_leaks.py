@@ -77,7 +77,7 @@ def test_candidates_lose_nothing(corpus):
         df[np.unique(block.hits(x)[1])] += 1
     block.prefixes(df)
     kept = {pair for pair, *_ in L._candidates(block, ids)}
-    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(block.words) if (s := L.stretch(w, ids[d]))[0] >= 0.5 * len(w) and 4 * s[1] >= 3 * s[0]}
+    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(block.words) if L.is_case(len(w), (s := L.stretch(w, ids[d]))[0], s[1], s[3] - s[2] + 1, 0.5)}
     assert exact and exact <= kept and len(kept) < len(docs) * len(items) / 4
 
 

@@ -207,7 +207,8 @@ def block_scores(model: Model, texts: list[str]):
 def detect_languages(df: DataFrame, text: str, keep: list[str], model: Model, least_words: int = 20) -> DataFrame:
     """Per document a row with ``block_no`` 0 and the main language, and a row for each block of at least
     ``least_words`` words that is written in another language: the ``keep`` columns, ``block_no``, ``lang``,
-    ``confidence`` (0 to 1), ``words``, ``characters`` (of the whole text).
+    ``confidence`` (0 to 1), ``words``, ``characters`` (of the whole text). A kept column that has the name of one of
+    these comes out as ``<name>_kept``.
 
     Blocks are the pieces between blank lines, numbered from 1. The main language is that of most words, counting each
     block's words for the block's language; of equal counts the alphabetically first. Its confidence is the average of
@@ -218,7 +219,9 @@ def detect_languages(df: DataFrame, text: str, keep: list[str], model: Model, le
     size, whole; repeated documents give rows each; an empty table gives no row.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*[df.schema[c] for c in keep], T.StructField("block_no", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("characters", T.LongType())])
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    df = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("text"))
+    out = T.StructType([*[df.schema[c] for c in kept], T.StructField("block_no", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("characters", T.LongType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -228,7 +231,7 @@ def detect_languages(df: DataFrame, text: str, keep: list[str], model: Model, le
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                texts = [x or "" for x in part.column(text).to_pylist()]
+                texts = [x or "" for x in part.column("text").to_pylist()]
                 doc, number, words, grams, values = block_scores(m, texts)
                 lang, sure = m.decide(values, grams)
                 voting = np.where(grams > 8, words, 0)
@@ -247,9 +250,10 @@ def detect_languages(df: DataFrame, text: str, keep: list[str], model: Model, le
                 length = np.array([len(t) for t in texts])
                 cols = [np.concatenate(x)[order] for x in ((np.zeros(len(r), np.int32), number[other].astype(np.int32)), (names[main], names[lang[other]]), (share, sure[other]), (all_words, words[other].astype(np.int64)))]
                 at = at[order]
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(at)) for c in keep], *[pa.array(c, f.type) for c, f in zip([*cols, length[at]], list(schema)[len(keep) :])]], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(at)) for c in kept], *[pa.array(c, f.type) for c, f in zip([*cols, length[at]], list(schema)[len(kept) :])]], schema=schema)
 
-    return df.select(*keep, F.col(text)).mapInArrow(run, out) if text not in keep else df.select(*keep).mapInArrow(run, out)
+    own = out.names[len(keep) :]
+    return df.mapInArrow(run, out).select(*[F.col(k).alias(f"{c}_kept" if c in own else c) for c, k in zip(keep, kept)], *own)
 
 
 def wrong_labels(found: DataFrame, label: str, aliases: DataFrame, least_characters: int = 20) -> DataFrame:

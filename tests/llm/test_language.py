@@ -82,3 +82,10 @@ def test_fit_on_is_bounded_and_repeatable(spark):
         L.fit_on(df.limit(0), "t", "l")
     one = L.fit([("some text here", "xx")])
     assert one.langs == ["xx"] and one.pairs == []
+
+
+@needs_data
+def test_kept_columns_with_names_of_the_result(spark, model, samples):
+    df = spark.createDataFrame([(1, t, lang, 7) for t, lang in samples[:90]], "words bigint, text string, lang string, block_no int")
+    got = L.detect_languages(df, "text", ["lang", "words", "block_no", "text"], model).where("block_no = 0").collect()
+    assert all(r.lang == r.lang_kept and r.words_kept == 1 and r.block_no_kept == 7 and r.text for r in got) and len(got) == 90

@@ -16,7 +16,7 @@ from .words import words
 #: Words of a shingle. Three, not five: single damaged words must not hide a passage of which half is there.
 SHINGLE = 3
 #: Words of items that are held in memory at once; more items are taken in blocks, each against all documents.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 #: Extra words (page headers, paragraph numbers) and missing words that a connected stretch may hold at one place.
 DOC_GAP, ITEM_GAP = 24, 8
 #: What a strange word between two matching pieces costs, in matching words: short pieces far apart are no stretch.

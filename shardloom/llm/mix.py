@@ -18,6 +18,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokenizer pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Most sources of a mix; a row of each is kept by every task.
+MOST_SOURCES = 10_000
 #: Binary digits of a schedule point.
 BITS = 40
 
@@ -158,7 +160,9 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     within a bucket, so a source that holds most records is spread like any other; slots are computed, not joined.
     """
     spark = rows.sparkSession
-    plan = [r.asDict() for r in shares(rows, targets).orderBy("source").collect()]  # a row per source of the targets
+    plan = [r.asDict() for r in shares(rows, targets).orderBy("source").limit(MOST_SOURCES + 1).collect()]
+    if len(plan) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     if not plan or not any(r["target_tokens"] for r in plan):
         return spark.createDataFrame([], "slot bigint, source string, block bigint, use int, doc_id string, tokens bigint, place bigint")
     schedule, names = Schedule([r["weight"] for r in plan]), [r["source"] for r in plan]

@@ -81,11 +81,13 @@ def bind(sql: str, args: Sequence[Any]) -> str:
 
 
 class Engine:
-    """Entry point; needs a classic session (the planner reads Catalyst's plans)."""
+    """Entry point; needs a classic session (the planner reads Catalyst's plans). File listings are kept until the engine
+    changes a table or ``refresh`` is called."""
 
     def __init__(self, catalog: ShardCatalog):
         self.catalog, self.spark = catalog.initialize(), catalog.spark
         self._jvm, self._session = self.spark._jvm, self.spark._jsparkSession
+        self._listed: dict[str, DataFrame | None] = {}
 
     # files
 
@@ -138,9 +140,11 @@ class Engine:
         out = None
         for root, dbs in by_root.items():
             base = f"{root}/{entry.name}"
-            if not self._exists(base):
+            if base not in self._listed:
+                self._listed[base] = self.spark.read.schema(schema).option("basePath", base).parquet(base) if self._exists(base) else None
+            one = self._listed[base]
+            if one is None:
                 continue
-            one = self.spark.read.schema(schema).option("basePath", base).parquet(base)
             if len(dbs) < len(roots):
                 one = one.where(F.col("_db").isin(dbs))
             if shards is not ALL:
@@ -157,6 +161,11 @@ class Engine:
             out = one if out is None else out.unionByName(one)
         return self.spark.createDataFrame([], schema) if out is None else out
 
+    def refresh(self, table: str) -> None:
+        """Forget the listed files of a table, after something else has changed them."""
+        for base in [b for b in self._listed if b.rsplit("/", 1)[-1] == table.lower()]:
+            del self._listed[base]
+
     def table(self, name: str, op: Operation = Operation.READ, use: str | None = None, ignore_sharding: bool = False) -> DataFrame:
         """The whole logical table; with ``ignore_sharding`` the table without suffix under the default root."""
         entry = self.catalog.entry(name)
@@ -278,6 +287,7 @@ class Engine:
                 self._move(path, f"{roots[db]}/{entry.name}/" + "/".join(path.rsplit("/", 2)[1:]))
             return rows
         finally:
+            self.refresh(entry.name)
             self._fs(staging).delete(self._path(staging), True)
 
     def write(self, df: DataFrame, table: str, strict: bool = False) -> Resolution:
@@ -374,6 +384,7 @@ class Engine:
         """Make every replica of a table's databases a snapshot of its source as it is now."""
         entry = self.catalog.entry(table)
         conf = self._session.sessionState().newHadoopConf()
+        self.refresh(table)
         for db, r in enumerate(entry.rule.routers):
             source = f"{(list(r.sources) or [self.catalog.default_root])[0]}/{entry.name}/_db={db}"
             for replica in r.replicas:

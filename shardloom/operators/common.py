@@ -27,12 +27,12 @@ def once_per_id(df: DataFrame, ident: str) -> DataFrame:
     the aggregation hash based, so callers select the columns they need first.
     """
     rest = [c for c in df.columns if c != ident]
-    if not rest:
-        return df.where(F.col(ident).isNotNull()).distinct().unionAll(df.where(F.col(ident).isNull()))
-    named = df.where(F.col(ident).isNotNull()).groupBy(ident).agg(*[F.max(c).alias(c) for c in rest])
-    if not df.schema[ident].nullable:
-        return named.select(df.columns)
-    return named.select(df.columns).unionAll(df.where(F.col(ident).isNull()))
+    keys = [ident]
+    if df.schema[ident].nullable:  # a number of its own for each row without id: no second pass over the rows
+        df = df.withColumn("_row", F.when(F.col(ident).isNull(), F.monotonically_increasing_id()))
+        keys.append("_row")
+    once = df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest]) if rest else df.select(*keys).distinct()
+    return once.select(ident, *rest)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -140,8 +140,13 @@ def existence(changes: DataFrame, key: str, kind: str, at: str, ident: str) -> D
     flag = F.when(normalised(kind) == "delete", 0).when(normalised(kind) == "restore", 1).when(normalised(kind) == "create", 2)
     rows = once_per_id(changes.select(F.col(ident).alias("ident"), F.col(key).alias("key"), F.col(at).alias("lo"), flag.alias("flag")), "ident")
     rows = rows.where(F.col("key").isNotNull() & F.col("lo").isNotNull() & F.col("flag").isNotNull())
-    w = Window.partitionBy("key").orderBy("lo", "ident")
-    rows = rows.withColumns({"hi": F.lead("lo").over(w), "before": F.lag("lo").over(w)})
+    # neighbours within a month, then over the months: a parent with very many changes is not one task's work
+    rows = rows.withColumn("month", month_of(F.col("lo")))
+    w = Window.partitionBy("key", "month").orderBy("lo", "ident")
+    months = Window.partitionBy("key").orderBy("month")
+    edges = rows.groupBy("key", "month").agg(F.min("lo").alias("starts")).select("key", "month", F.lead("starts").over(months).alias("next"), F.lag("starts").over(months).alias("last"))
+    rows = rows.withColumns({"hi": F.lead("lo").over(w), "before": F.lag("lo").over(w)}).join(edges, ["key", "month"])
+    rows = rows.withColumns({"hi": F.coalesce("hi", "next"), "before": F.coalesce("before", "last")})
     later = F.struct(F.col("lo"), F.col("hi"), (F.col("flag") > 0).alias("exists"))
     first = F.struct(F.lit(None).cast("timestamp_ntz").alias("lo"), F.col("lo").alias("hi"), (F.col("flag") != 2).alias("exists"))
     parts = F.when(F.col("before").isNull(), F.array(first, later)).otherwise(F.array(later))
@@ -157,12 +162,16 @@ def orphans(refs: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataF
     exists unless the first of them is a create; a key without any change exists if ``parents`` has a row of it. A row
     without time is an orphan if ``parents`` has no row of its key.
 
+    Keys that are no integers are encoded by ``dictionary`` and decoded in the result.
+
     Cases: rows whose key is null or ``no_key`` refer to nothing and are left out; rows with the same id come out once;
     null ids come out as they are; empty tables give no row, and with empty parents every reference is an orphan.
 
     Plan: partial bitmaps per task shrink a hot key to one bit before the shuffle by key range. The surviving keys join
     back to the rows under a salt, so that a hot orphan key spreads over several tasks, and nothing is broadcast.
     """
+    if not all(isinstance(df.schema[key].dataType, T.IntegralType) for _, df, _, key, _ in refs):
+        return _orphans_of_other_keys(refs, parents, parent_key, changes, no_key)
     rows = None
     for n, (name, df, ident, key, at) in enumerate(refs):
         one = df.select(F.lit(n).alias("n"), F.lit(name).alias("table_name"), F.col(ident).cast("bigint").alias("row_id"), F.col(key).cast("bigint").alias("key"), F.col(at).cast("timestamp_ntz").alias("at"))
@@ -195,6 +204,26 @@ def orphans(refs: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataF
     return with_id.unionByName(found.where(F.col("row_id").isNull()))
 
 
+def _orphans_of_other_keys(refs, parents, parent_key, changes, no_key) -> DataFrame:
+    """``orphans`` for keys that are no integers: they are encoded by one dictionary, and decoded in the result."""
+    changed, change_key = changes[:2]
+    keys = [df.select(F.col(k).alias("key")) for df, k in [(df, key) for _, df, _, key, _ in refs] + [(parents, parent_key), (changed, change_key)]]
+    both = keys[0]
+    for k in keys[1:]:
+        both = both.unionAll(k)
+    codes = dictionary(both if no_key is None else both.where(F.col("key") != no_key), "key")
+
+    def coded(df, key, *keep):
+        rows = df.select(F.col(key).alias("key"), *keep)
+        return rows.join(codes, "key").select(F.col("code").alias("coded"), *keep)
+
+    out = orphans(
+        [(name, coded(df, key, ident, at), ident, "coded", at) for name, df, ident, key, at in refs],
+        coded(parents, parent_key), "coded", (coded(changed, change_key, *changes[2:]), "coded", *changes[2:]),
+    )
+    return out.withColumnRenamed("key", "code").join(codes, "code").select("table_name", "row_id", "key", "at", "period")
+
+
 def orphan_report(found: DataFrame) -> DataFrame:
     """Orphan rows and keys per table and period: ``table_name``, ``month`` (yyyy-MM, null without time), ``orphan_rows``,
     ``orphan_keys``. An empty input gives no row."""

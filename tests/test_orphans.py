@@ -46,6 +46,14 @@ def test_equals_brute_force(spark):
         assert (n, k) == (len(here), len({x.key for x in here}))
 
 
+def test_text_keys(spark):
+    ref = spark.createDataFrame([(1, "a", dt.datetime(2026, 2, 1)), (2, "b", dt.datetime(2026, 2, 1)), (3, "c", dt.datetime(2026, 2, 1)), (4, "", None), (5, None, None), (6, "c", dt.datetime(2026, 4, 1))], "id bigint, key string, at timestamp_ntz")
+    changes = spark.createDataFrame([(1, "c", "delete", dt.datetime(2026, 3, 1)), (2, "zz", "create", dt.datetime(2026, 3, 1))], "cid bigint, key string, kind string, at timestamp_ntz")
+    users = spark.createDataFrame([("a",), ("c",)], "uid string")
+    got = O.orphans([("t", ref, "id", "key", "at")], users, "uid", (changes, "key", "kind", "at", "cid"), no_key="").collect()
+    assert sorted((r.row_id, r.key) for r in got) == [(2, "b"), (6, "c")]
+
+
 def test_empty_tables(spark):
     none, changes = spark.createDataFrame([], REF), spark.createDataFrame([], CHANGE)
     users, some = spark.createDataFrame([], "uid bigint"), spark.createDataFrame([(7, 5, dt.datetime(2026, 1, 1), "", 0), (8, 5, None, "", 0)], REF)

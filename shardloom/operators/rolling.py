@@ -126,7 +126,9 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, spans: Seque
     if ident:
         rows = once_per_id(rows, "ident").drop("ident")
     daily = rows.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("vals"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
-    daily = daily.repartition("entity").sortWithinPartitions("entity", "day")
+    # A few bytes become many days: keep the number of partitions, which would be joined by their small size otherwise.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    daily = daily.repartition(tasks, "entity").sortWithinPartitions("entity", "day")
     num = T.LongType() if exact else T.DoubleType()
     out = T.StructType([T.StructField("entity", entity_type), T.StructField("day", T.DateType()), T.StructField("rows_on_day", T.LongType())])
     for s in spans:

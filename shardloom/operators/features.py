@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,7 +38,7 @@ def _runs(t: pa.Table) -> pa.Table:
     return pa.table({"entity": column(t, "entity").take(at), "kind": column(t, "kind").take(at), "n": pa.array(np.add.reduceat(column(t, "n").to_numpy(), first)), "total": pa.array(np.add.reduceat(column(t, "total").to_numpy(), first)), "first_at": time("first_at", big, np.minimum), "last_at": time("last_at", small, np.maximum)})
 
 
-def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | None = None, value: str | None = None, as_of=None, kinds: Sequence[str] | None = None) -> DataFrame:
+def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | None = None, value: str | None = None, as_of: dt.datetime | None = None, kinds: Sequence[str] | None = None) -> DataFrame:
     """One row per entity with count, total, latest time and recency of each event type.
 
     Columns: ``entity``, ``events``, ``types``, ``total``, ``first_at``, ``last_at`` and the features, as a map
@@ -58,7 +59,8 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
     rows = rows.where(F.col("entity").isNotNull() & (F.col("kind") != ""))
     if ident:
         rows = once_per_id(rows, "ident").drop("ident")
-    part, listed = _partial_type(entity_type), list(kinds) if kinds is not None else None
+    part, listed = _partial_type(entity_type), list(dict.fromkeys(kinds)) if kinds is not None else None
+    now_us = None if as_of is None else round((as_of - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
     if listed is not None and len(listed) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} types: leave kinds out to get a map")
 
@@ -77,8 +79,10 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
     if listed is None:
         out = out.add("features", T.MapType(T.StringType(), cell))
     else:
-        for i in range(len(listed)):
-            out = out.add(f"n{i}", T.LongType()).add(f"t{i}", T.DoubleType()).add(f"l{i}", T.TimestampNTZType())
+        for k in listed:  # with their final names: a projection over a thousand columns costs more than making them
+            out = out.add(f"n_{k}", T.LongType())
+            out = out.add(f"total_{k}", T.DoubleType()) if value else out
+            out = out.add(f"last_{k}", T.TimestampNTZType()).add(f"recency_{k}", T.DoubleType())
 
     def emit(t, schema):
         """Wide rows from runs of whole entities."""
@@ -104,7 +108,9 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
             ns, ts, ls = (np.full((len(listed), len(first)), f, d) for f, d in ((0, np.int64), (0.0, np.float64), (small, np.int64)))
             ns[c, r], ts[c, r], ls[c, r] = n[ok], total[ok], last[ok]
             for i in range(len(listed)):
-                cols += [pa.array(ns[i]), pa.array(ts[i]), pa.array(ls[i], mask=ls[i] == small).cast(pa.timestamp("us"))]
+                none = ls[i] == small
+                cols += [pa.array(ns[i]), *([pa.array(ts[i])] if value else []), pa.array(ls[i], mask=none).cast(pa.timestamp("us"))]
+                cols.append(pa.nulls(len(none), pa.float64()) if now_us is None else pa.array((now_us - np.where(none, 0, ls[i])) / 1e6, mask=none))
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def stream(batches):
@@ -122,14 +128,11 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
             yield emit(held.combine_chunks(), schema)
 
     wide = rows.mapInArrow(combine, part).repartition("entity").sortWithinPartitions("entity", "kind").mapInArrow(stream, out)
+    if listed is not None:
+        return wide
     now = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")
     recency = lambda c: (F.unix_micros(now) - F.unix_micros(c.cast("timestamp"))).cast("double") / 1e6
-    if listed is None:
-        return wide.withColumn("features", F.transform_values("features", lambda _, x: x.withField("recency_s", recency(x["last_at"]))))
-    cols = [F.col(c) for c in ("entity", "events", "types", "total", "first_at", "last_at")]
-    for i, k in enumerate(listed):
-        cols += [F.col(f"n{i}").alias(f"n_{k}"), *([F.col(f"t{i}").alias(f"total_{k}")] if value else []), F.col(f"l{i}").alias(f"last_{k}"), recency(F.col(f"l{i}")).alias(f"recency_{k}")]
-    return wide.select(cols)
+    return wide.withColumn("features", F.transform_values("features", lambda _, x: x.withField("recency_s", recency(x["last_at"]))))
 
 
 def kinds_of(df: DataFrame, kind: str, most: int = MOST_KINDS) -> list[str]:

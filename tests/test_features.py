@@ -52,6 +52,7 @@ def test_wide_layout(spark):
     for r in got:
         for k in kinds[:-1]:
             assert (r[f"n_{k}"], r[f"total_{k}"], r[f"last_{k}"]) == want[r.entity].get(k, (0, 0.0, None))
+            assert r[f"recency_{k}"] == (None if r[f"last_{k}"] is None else (NOW - r[f"last_{k}"]).total_seconds())
         assert r.events == sum(c[0] for c in want[r.entity].values())
 
 

@@ -42,6 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, shuffled by ``key`` if it is read in fewer partitions than the cluster has cores.
+
+    For costly work on rows of small inputs (a file with one row group is one task otherwise). Large inputs have more
+    partitions than cores and pass unchanged, as do plans that have a shuffle of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.Table]:
     """Arrow batches joined to tables of about ``rows`` rows, in order."""
     held, n = [], 0

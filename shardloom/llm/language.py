@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import spread
 from .words import repaired
 
 #: Families of closely related languages (fixed values); a language not named here is a family of its own.
@@ -220,7 +221,7 @@ def detect_languages(df: DataFrame, text: str, keep: list[str], model: Model, le
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = [f"kept_{i}" for i in range(len(keep))]
-    df = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("text"))
+    df = spread(df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("text")), kept[0] if kept else "text")
     out = T.StructType([*[df.schema[c] for c in kept], T.StructField("block_no", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("characters", T.LongType())])
 
     def run(batches):

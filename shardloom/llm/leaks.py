@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import column, ensure_checkpoint_dir, gathered
+from ..operators.common import column, ensure_checkpoint_dir, gathered, spread
 from .words import words
 
 #: Words of a shingle. Three, not five: single damaged words must not hide a passage of which half is there.
@@ -260,7 +260,7 @@ def _one_block(source: DataFrame, block: ItemBlock, out: T.StructType, share: fl
                     bodies.append(ids.astype(np.uint32 if b.base > 65_535 else np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(bodies, pa.binary())], schema=schema)
 
-    encoded = source.mapInArrow(encode, encoded_type).checkpoint()
+    encoded = spread(source, "doc_id").mapInArrow(encode, encoded_type).checkpoint()
 
     def numbers(b, body):
         return np.frombuffer(body, np.uint32 if b.base > 65_535 else np.uint16).astype(np.int64)

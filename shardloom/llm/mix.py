@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import ensure_checkpoint_dir
+from ..operators.common import ensure_checkpoint_dir, normalised, spread
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = "/opt/tokenizers"
@@ -120,11 +120,9 @@ def measured(docs: DataFrame, doc_id: str, text: str, source: str, **tokenizer)
     """``doc_id``, ``source``, ``tokens`` of the documents that have a source, written to the checkpoint folder: the
     tokens are counted once, whatever is asked of them later. Sources are compared in lower case without surrounding
     white space; null or empty ones are no source. Repeated documents are records of their own."""
-    from ..operators.common import normalised
-
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(source).alias("source"), F.col(text).alias("text")).where(F.col("source") != "")
-    return with_tokens(rows, "text", **tokenizer).checkpoint()
+    return with_tokens(spread(rows, "doc_id"), "text", **tokenizer).checkpoint()
 
 
 def shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -135,8 +133,6 @@ def shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
     a target count in the size of the mix only. Empty targets give no row."""
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("tokens"))
     size = F.coalesce(per.agg(F.sum("tokens")).scalar(), F.lit(0))
-    from ..operators.common import normalised
-
     wanted = targets.select(normalised("source").alias("source"), F.col("weight").cast("double").alias("weight"), F.col("max_repeat").cast("bigint").alias("max_repeat"))
     t = wanted.join(per, "source", "left").fillna(0, ["records", "tokens"]).withColumn("size", size)
     t = t.withColumns({"target_tokens": F.col("weight") * F.col("size"), "capacity_tokens": F.col("tokens") * F.col("max_repeat")})
@@ -207,8 +203,6 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
 def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Shares of a mix as it came out: ``source``, ``target_share``, ``actual_share``, ``tokens``, ``records``,
     ``most_uses``. Sources of the targets that gave nothing have 0."""
-    from ..operators.common import normalised
-
     per = mix.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), F.max(F.col("use") + 1).alias("most_uses"))
     t = targets.select(normalised("source").alias("source"), F.col("weight").alias("target_share")).join(per, "source", "left").fillna(0, ["tokens", "records", "most_uses"])
     return t.select("source", "target_share", (F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0))).alias("actual_share"), "tokens", "records", "most_uses")

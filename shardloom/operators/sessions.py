@@ -22,7 +22,7 @@ def _distinct_per_group(group: np.ndarray, kinds: pa.Array):
     return np.searchsorted(g, np.arange(n + 1)).astype(np.int32), names.take(pa.array(k))
 
 
-def sessions(df: DataFrame, entity: str, at: str, gap_seconds: int, ident: str | None = None, kind: str | None = None, chunk_seconds: int = 86_400) -> DataFrame:
+def sessions(df: DataFrame, entity: str, at: str, gap_seconds: int, ident: str | None = None, kind: str | None = None, chunk_seconds: int = 3_600) -> DataFrame:
     """One row per session of an entity: ``entity``, ``start_at``, ``end_at``, ``duration_s``, ``events`` and, if
     ``kind`` is given, ``kinds`` (number of different non-null kinds).
 

@@ -232,10 +232,23 @@ class Engine:
                 self._views(entries, result.shards, roots)
                 df = run()
         for e in entries:
-            e.last_query = sql
-            trace(result.labels.get(e.name, op.value), sql)
+            self._said(e, result.labels.get(e.name, op.value), sql)
         return df, result
 
+    def _said(self, entry: Entry, label: str, sql: str) -> None:
+        """Keep and log a statement; the pool's label goes before it if a router of the table traces."""
+        entry.last_query = sql
+        trace(label if entry.rule is not None and any(r.trace for r in entry.rule.routers) else "", sql)
+
+    def first(self, sql: str, args: Sequence[Any] = (), **kw):
+        """The first row of a query, or None."""
+        return self.sql(sql, args, **kw).first()
+
+    def roots(self, table: str) -> list[str]:
+        """Every root of a table's databases, sources before replicas, each once: to visit all of them."""
+        routers = self.catalog.entry(table).rule.routers
+        return list(dict.fromkeys([self.catalog.default_root, *[s for r in routers for s in r.sources], *[s for r in routers for s in r.replicas]]))
+
     def sql(self, sql: str, args: Sequence[Any] = (), op: Operation | None = None, strict: bool = False, use: str | None = None):
         """Run a statement: a DataFrame for queries, a Resolution with the number of rows for INSERT, UPDATE, DELETE."""
         word = re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.S).split(None, 1)[0].lower() if sql.strip() else ""
@@ -323,8 +336,8 @@ class Engine:
         if entry.rule is not None and entry.rule.key.lower() not in [n.lower() for n in names]:
             raise MissingShardingKey(f"the statement gives no {entry.rule.key}")
         out = self.write(rows.toDF(*[known[n.lower()] for n in names]), entry.name, strict)
-        out.statement = entry.last_query = sql
-        trace(out.labels.get(entry.name, "source"), sql)
+        out.statement = sql
+        self._said(entry, out.labels.get(entry.name, "source"), sql)
         return out
 
     def _change_sql(self, sql, args, strict):
@@ -342,8 +355,8 @@ class Engine:
             cond = plan.condition()
             changes = {a.key().sql().split(".")[-1].strip("`"): a.value().sql() for a in _seq(plan.assignments())}
             out = self.update(entry.name, changes, cond.get().sql() if cond.isDefined() else "true", strict)
-        out.statement = entry.last_query = sql
-        trace(out.labels.get(entry.name, "source"), sql)
+        out.statement = sql
+        self._said(entry, out.labels.get(entry.name, "source"), sql)
         return out
 
     def _affected(self, entry: Entry, condition: str, strict: bool):

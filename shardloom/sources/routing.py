@@ -106,8 +106,8 @@ def find_router(routers: Sequence, use: str | None = None, table: str | None = N
 
 
 def labelled(label: str, sql: str) -> str:
-    """A statement as it is logged."""
-    return f"[{label}] {sql}"
+    """A statement as it is logged; without a label it stands alone."""
+    return f"[{label}] {sql}" if label else sql
 
 
 def trace(label: str, sql: str, error: Exception | None = None) -> None:

@@ -149,6 +149,19 @@ def test_read_write_splitting(spark, tmp_path):
     assert e.where("item", "k = 5").count() == 0
 
 
+def test_traces_and_roots(spark, tmp_path, caplog):
+    e = make(spark, tmp_path, replicas=True)
+    with caplog.at_level("INFO", "shardloom"):
+        assert e.first("SELECT count(*) AS n FROM item WHERE k = 5").n == 0
+        e.catalog.entry("item").rule.routers[0].trace = True
+        e.sql("SELECT id FROM item WHERE k = 5 FOR UPDATE")
+        with pytest.raises(Exception):
+            e.sql("SELECT nope FROM item")
+    said = [r.getMessage() for r in caplog.records]
+    assert said[0] == "SELECT count(*) AS n FROM item WHERE k = 5" and said[1] == "[source] SELECT id FROM item WHERE k = 5 FOR UPDATE" and "nope" in said[2]
+    assert e.roots("item") == [f"{tmp_path}/{x}" for x in ("default", "s", "r")]
+
+
 def test_empty_suffix_and_no_router(spark, tmp_path):
     c = ShardCatalog(spark, str(tmp_path)).add_rule(ShardingRule("k", table_strategy=S.NoSharding(), database_strategy=_modulo(4)), "plain")
     e = Engine(c)
@@ -187,3 +200,25 @@ def test_bind():
     for sql, args in (("?", []), ("a", [1])):
         with pytest.raises(ShardingError):
             bind(sql, args)
+
+
+def compiled(key, **kw):
+    rule = ShardingRule(key, routers=[Router(f"db{i}") for i in range(4)], **kw)
+    rule.compile()
+    return rule
+
+
+def test_demo_tables():
+    """Placement of the example tables: orders by user, people by id number, regions, monthly logs, users by range."""
+    order = compiled("user_id", table_strategy=_modulo(10), database_strategy=_modulo(4))
+    assert [order.place(k) for k in (1001, 2002, 3003, 4004, 5005, 10001)] == [(1, "_1"), (2, "_2"), (3, "_3"), (0, "_4"), (1, "_5"), (1, "_1")]
+    person = compiled("id_no", table_strategy=S.NoSharding(), database_strategy=S.CustomStrategy(lambda v: f"_{int(v[-2:]) % 4}"))
+    assert [person.place(k)[0] for k in ("1234567890120", "1234567890121", "1234567890122", "1234567890123", "1234567890124", "1234567890125", "1234567890128", "9876543210980", "9876543210986")] == [0, 1, 2, 3, 0, 1, 0, 0, 2]
+    region = compiled("region", table_strategy=S.NoSharding(), database_strategy=S.EnumStrategy({"beijing": "_0", "shanghai": "_1", "guangzhou": "_2", "shenzhen": "_3"}, "_0"))
+    assert [region.place(k)[0] for k in ("beijing", "shanghai", "guangzhou", "shenzhen", "hangzhou")] == [0, 1, 2, 3, 0]
+    log = compiled("created_at", table_strategy=S.DateStrategy("200601"), database_strategy=S.NoSharding())
+    assert [log.place(dt.datetime(2026, m, 15, 10)) for m in (1, 2, 3)] == [(0, "_202601"), (0, "_202602"), (0, "_202603")]
+    user = compiled("id", table_strategy=S.NoSharding(), database_strategy=S.RangeStrategy([0, 10_000, 50_000, 100_000]))
+    assert [user.place(k)[0] for k in (1, 5000, 15_000, 60_000, 100_000, 10**9, -1)] == [0, 0, 1, 2, 3, 3, 0]
+    assert compiled("k", table_strategy=_modulo(2), database_strategy=S.HashStrategy(9)).place(8) == (-1, "_0")
+    assert compiled("k", table_shards=10, database_shards=3).place(7) == (1, "_07")

@@ -1,7 +1,7 @@
 """Exact per-key results when a few keys hold most rows: selection by refined histograms.
 
-Values become integers whose order is that of the values. The finest histogram counts each (key, value); each coarser
-one adds up 256 bins of the finer. The counts merge, so every level is a partial sum before its shuffle and a hot key
+Values become integers whose order is that of the values. The finest histogram counts each (key, value) and is written
+once; each coarser one adds up 256 times as many values to a bin. The counts merge, so every level is a partial sum before its shuffle and a hot key
 spreads over as many tasks as it has bins. Going down, the bin that holds a rank is found among at most 256 bins, and
 only its own 256 children are looked at next, until a single value is left: no step ever gathers the rows, or the
 values, of a key.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once_per_id
+from .common import ensure_checkpoint_dir, once_per_id
 
 STEP = 8  # bits refined at a time
 
@@ -43,10 +43,11 @@ def keyed_results(df: DataFrame, key: str, value: str, quantiles: Sequence[float
     rows = df.select(*([F.col(ident).alias("ident")] if ident else []), F.col(key).alias("key"), code.alias("v"))
     if ident:
         rows = once_per_id(rows, "ident").drop("ident")
-    finest = rows.groupBy("key", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    finest = rows.groupBy("key", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
     levels = [finest.where(F.col("bin").isNotNull())]
-    for _ in range(max(0, -(-bits // STEP) - 1)):
-        levels.append(levels[-1].groupBy("key", F.shiftright("bin", STEP).alias("bin")).agg(F.sum("n").alias("n")))
+    for k in range(1, -(-bits // STEP)):
+        levels.append(levels[0].groupBy("key", F.shiftright("bin", k * STEP).alias("bin")).agg(F.sum("n").alias("n")))
     per_key = finest.groupBy("key").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))), F.lit(0)).alias("values"), F.sum(F.col("bin").cast("decimal(38,0)") * F.col("n")).alias("total"), F.min("bin").alias("least"), F.max("bin").alias("most"))
     per_key = per_key.withColumn("share", F.col("rows") / per_key.agg(F.sum("rows")).scalar())
 

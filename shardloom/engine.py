@@ -364,15 +364,15 @@ class Engine:
         probe = self.scan(entry.name, roots=roots).alias(entry.name).where(condition)
         sets = self._prune(probe, [entry], strict)
         shards = sets.get(entry.name, frozenset())
-        here = self.scan(entry.name, shards, roots=roots).alias(entry.name)
-        return roots, label, here, here.where(condition).count()
+        here = self.scan(entry.name, shards, roots=roots).alias(entry.name).where(condition)
+        hit = here.groupBy("_db", "_tbl").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per touched shard
+        return roots, label, [(r["_db"], r["_tbl"]) for r in hit], sum(r.n for r in hit)
 
     def delete(self, table: str, condition: str = "true", strict: bool = False) -> Resolution:
         """Delete rows, rewriting the shards that hold some; the number of rows is in the result."""
         entry = self.catalog.entry(table)
-        roots, label, here, n = self._affected(entry, condition, strict)
+        roots, label, hit, n = self._affected(entry, condition, strict)
         if n:
-            hit = [tuple(r) for r in here.where(condition).select("_db", "_tbl").distinct().collect()]  # shards, not rows
             self._replace(entry, self.scan(table, frozenset(hit), roots=roots).alias(table).where(~F.coalesce(F.expr(condition), F.lit(False))), roots, hit)
         return Resolution("", [entry.name], Operation.WRITE, {entry.name: None}, {entry.name: label}, n)
 
@@ -384,9 +384,8 @@ class Engine:
         changes = {known.get(k.lower(), k): v for k, v in changes.items()}
         if unknown := [k for k in changes if k not in schema.names]:
             raise ShardingError(f"{table} has no such columns: {', '.join(unknown)}")
-        roots, label, here, n = self._affected(entry, condition, strict)
+        roots, label, hit, n = self._affected(entry, condition, strict)
         if n:
-            hit = [tuple(r) for r in here.where(condition).select("_db", "_tbl").distinct().collect()]
             rows = self.scan(table, frozenset(hit), roots=roots).alias(table)
             holds = F.coalesce(F.expr(condition), F.lit(False))
             rows = rows.select(*[F.when(holds, F.expr(changes[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in changes else F.col(f.name) for f in schema.fields])

@@ -31,7 +31,8 @@ PIECE_WORDS = 24
 #: Bytes scored at once.
 SCORED = 1 << 19
 
-BLANK = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:(?:\r\n|\r|\n)[ \t]*)+")
+# a \r before \n is never a line end of its own, else one CRLF counted as two
+BLANK = re.compile(r"(?:\r\n|\r(?!\n)|\n)[ \t]*(?:(?:\r\n|\r(?!\n)|\n)[ \t]*)+")
 _MARK = "\x01"
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() or c == 1 else 32 for c in range(256))
 _SPACES = np.zeros(256, bool)

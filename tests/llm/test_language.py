@@ -53,6 +53,22 @@ def test_blocks_and_main_language(spark, model, samples, gap):
     assert all(0 <= r.confidence <= 1 for r in got)
 
 
+def test_one_line_end_is_no_blank_line():
+    assert L.BLANK.split("abc\r\ndef\r\n\r\nghi") == ["abc\r\ndef", "ghi"]
+    for end in ("\n", "\r\n", "\r"):
+        assert len(L.BLANK.split(f"a{end}b{end} \tc{end}{end}d{end} {end}e{end}{end}{end}f")) == 4
+
+
+@needs_data
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_blocks_of_wrapped_lines(spark, model, samples, end):
+    wrap = lambda t: end.join(" ".join(t.split()[i : i + 8]) for i in range(0, len(t.split()), 8))
+    parts = document(samples, ["de", "fr", "de", "de"])
+    text = (end * 2).join(["URTEIL", *map(wrap, parts)])
+    got = L.detect_languages(spark.createDataFrame([(1, text)], "id bigint, text string"), "text", ["id"], model).collect()
+    assert [(r.block_no, r.lang, r.words) for r in got[1:]] == [(3, "fr", len(parts[1].split()))] and got[0].lang == "de"
+
+
 @needs_data
 def test_long_texts_are_scored_in_parts(spark, model, samples, monkeypatch):
     text = "\n\n".join(document(samples, ["it", "it", "pt"] * 10))

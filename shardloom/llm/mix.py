@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MOST_SOURCES = 10_000
 #: Binary digits of a schedule point.
 BITS = 40
+#: Slots that the smallest target fills at least; blocks are made smaller for it.
+LEAST_SLOTS = 8
 
 _encodings: dict = {}
 
@@ -144,10 +146,13 @@ def shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed: int = 7) -> DataFrame:
     """The mix itself: ``slot``, ``source``, ``block``, ``use`` (0 for the first use of a record), ``doc_id``, ``tokens``.
 
-    The mix has the size of all ``rows``. Its slots of ``block_tokens`` tokens are dealt to the sources by a van der
-    Corput sequence, so every stretch of slots holds the weights closely; the r-th slot of a source takes its r-th block
-    of shuffled records, starting over up to ``max_repeat`` times. Slots of a source that is used up stay empty. Order by
-    slot, then by ``place`` within it.
+    The mix has the size of all ``rows``. Its slots are dealt to the sources by a van der Corput sequence, so every
+    stretch of slots holds the weights closely; the r-th slot of a source takes its r-th block of shuffled records,
+    starting over up to ``max_repeat`` times. A slot has ``block_tokens`` tokens, or fewer if the smallest target of a
+    source with tokens would fill less than LEAST_SLOTS of them. The last block of a source ends with the record that
+    reaches its ``target_tokens``, so at every size a source that is not used up gives its target and less than one
+    record more; the last slots of a mix may therefore lie a little behind its size. Slots of a source that is used up
+    stay empty. Order by slot, then by ``place`` within it.
 
     A record longer than a block fills the slots it reaches into. Records without tokens are left out. The shuffle is by
     hash of seed, use and record, so it is repeatable; each use is shuffled anew.
@@ -162,11 +167,16 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     if not plan or not any(r["target_tokens"] for r in plan):
         return spark.createDataFrame([], "slot bigint, source string, block bigint, use int, doc_id string, tokens bigint, place bigint")
     schedule, names = Schedule([r["weight"] for r in plan]), [r["source"] for r in plan]
-    size = sum(r["target_tokens"] for r in plan)
-    n_slots = max(1, round(size / block_tokens))
-    own = [int(schedule.ranks(np.array([n_slots]), k)[0]) for k in range(len(plan))]
-    uses = [min(r["max_repeat"], -(-k * block_tokens // r["tokens"])) if r["tokens"] else 0 for r, k in zip(plan, own)]
-    wanted = spark.createDataFrame([(k, s, max(u, 0), b * block_tokens, r["tokens"]) for k, (s, u, b, r) in enumerate(zip(names, uses, own, plan))], "k int, source string, uses int, budget bigint, of_source bigint")
+    budgets = [round(r["target_tokens"]) for r in plan]
+    block_tokens = max(1, min([block_tokens, *[b // LEAST_SLOTS for b, r in zip(budgets, plan) if b and r["tokens"]]]))
+    blocks = [-(-b // block_tokens) if r["tokens"] else 0 for b, r in zip(budgets, plan)]
+    if any(n and schedule.edges[k] == schedule.edges[k + 1] for k, n in enumerate(blocks)):
+        raise ValueError(f"a weight is less than one part in 2^{BITS}")
+    n_slots = max(1, sum(blocks))
+    while any(schedule.ranks(np.array([n_slots]), k)[0] < n for k, n in enumerate(blocks)):
+        n_slots *= 2
+    uses = [min(r["max_repeat"], -(-b // r["tokens"])) if r["tokens"] else 0 for r, b in zip(plan, budgets)]
+    wanted = spark.createDataFrame([(k, s, max(u, 0), b, r["tokens"]) for k, (s, u, b, r) in enumerate(zip(names, uses, budgets, plan))], "k int, source string, uses int, budget bigint, of_source bigint")
     buckets = max(1, min(4096, sum(r["records"] for r in plan) // 20_000))
     used = rows.where("tokens > 0").join(F.broadcast(wanted), "source").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1))) if any(uses) else rows.where("false").join(F.broadcast(wanted), "source").withColumn("use", F.lit(0))
     used = used.where(F.col("uses") > 0).withColumn("order", F.xxhash64(F.lit(seed), F.col("use"), F.col("doc_id")))

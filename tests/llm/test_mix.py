@@ -85,6 +85,21 @@ def test_mix_keeps_shares_and_caps(spark, rows):
     assert report["none"].tokens == 0 and report["big"].actual_share == pytest.approx(by["big"] / sum(by.values()))
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_small_mixes_hold_every_source(spark, rows, n):
+    """With the blocks of large mixes: each source gives its target and less than a record more."""
+    data, df = rows[0][:n], rows[1].where(f"doc_id < {n}")
+    weights = {"big": 0.67, "extra": 0.03, "mid": 0.28, "small": 0.02}
+    targets = spark.createDataFrame([(s, w, 2) for s, w in weights.items()], TARGETS)
+    got, total = M.mixed(df, targets).collect(), sum(t for *_, t in data)
+    schedule, names = M.Schedule(list(weights.values())), list(weights)
+    assert [names[k] for k in schedule.sources(np.array([r.slot for r in got]))] == [r.source for r in got]
+    for k, (s, w) in enumerate(weights.items()):
+        mine, have = [r for r in got if r.source == s], sum(t for _, x, t in data if x == s)
+        assert have and min(round(w * total), 2 * have) <= sum(r.tokens for r in mine) < round(w * total) + 900
+        assert all(schedule.ranks(np.array([r.slot]), k)[0] == r.block for r in mine)
+
+
 def test_empty(spark, rows):
     _, df = rows
     none, targets = spark.createDataFrame([], TARGETS), spark.createDataFrame([("big", 1.0, 1)], TARGETS)

@@ -21,8 +21,6 @@ BLOCK_WORDS = 250_000
 DOC_GAP, ITEM_GAP = 24, 8
 #: What a strange word between two matching pieces costs, in matching words: short pieces far apart are no stretch.
 STRANGE = 0.5
-#: How far places may drift along a stretch of an item's length, in words.
-DRIFT = 48
 #: Documents matched at once by a task.
 BATCH_DOCS = 256
 
@@ -30,7 +28,7 @@ BATCH_DOCS = 256
 class ItemBlock:
     """Items as word numbers with their shingles; small enough for every task, by BLOCK_WORDS."""
 
-    def __init__(self, ids: list, passages: list[list[bytes]], share: float, intact: float):
+    def __init__(self, ids: list, passages: list[list[bytes]], share: float, intact: float | None = None):
         self.ids, self.vocab = ids, {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in p], dtype=np.int64) for p in passages]
         self.base = len(self.vocab) + 1
@@ -39,8 +37,13 @@ class ItemBlock:
         per_item = [self.codes(w)[1] for w in self.words]
         self.shingles = np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.int64)
         self.places = [np.searchsorted(self.shingles, c) for c in per_item]
-        # a stretch of `share` of the words has so many shingles, of which `intact` are undamaged
-        self.least = np.array([max(3, math.floor(intact * (share * len(w) - SHINGLE + 1))) for w in self.words], dtype=np.int64)
+        # a stretch spans so many words, and its undamaged shingles are at most ITEM_GAP + SHINGLE words apart
+        self.span = np.array([max(SHINGLE, math.ceil(share * len(w) - 1e-9)) for w in self.words], dtype=np.int64)
+        self.least = 1 - (SHINGLE - self.span) // (ITEM_GAP + SHINGLE)
+        if intact is not None:
+            self.least = np.maximum(self.least, [math.floor(intact * (share * len(w) - SHINGLE + 1)) for w in self.words])
+        # half of the document's words and a quarter of the item's may be strange: places drift by no more than these
+        self.drift = np.array([-(-5 * len(w) // 4) for w in self.words], dtype=np.int64)
         size = 1 << max(10, (len(self.shingles) * 8).bit_length())
         self.mask = size - 1
         self.sieve = np.zeros(size, dtype=bool)
@@ -72,17 +75,17 @@ class ItemBlock:
         return at[same], n[same]
 
     def prefixes(self, df: np.ndarray) -> None:
-        """Keep of each item's N shingles the N - least + need rarest: a document with ``least`` of the N has at least
-        ``need`` of those, whatever it holds of the commonest, which are not joined at all."""
+        """Drop each item's commonest shingles that stand at no more than least - need of its places: a document with
+        ``least`` of the places has at least ``need`` of the rest, whatever it holds of those, which are not joined at all."""
         self.need = -(-3 * self.least // 4)
         self.own = []
         order = np.empty(len(df), np.int64)
         order[np.lexsort((self.shingles, df))] = np.arange(len(df))
         pairs = []
         for i, p in enumerate(self.places):
-            own = np.unique(p)
-            own = own[np.argsort(order[own])][: max(0, len(own) - int(self.least[i] - self.need[i]))]
-            keep = np.isin(p, own)
+            own, times = np.unique(p, return_counts=True)
+            common = np.argsort(-order[own])
+            keep = ~np.isin(p, own[common][np.cumsum(times[common]) <= self.least[i] - self.need[i]])
             by = np.argsort(p, kind="stable")
             self.own.append((p[by], by))
             pairs.append(np.stack([p[keep], np.full(keep.sum(), i), np.flatnonzero(keep)], axis=1))
@@ -155,7 +158,8 @@ def _spread(start, n):
 
 
 def _candidates(block: ItemBlock, docs: list[np.ndarray]):
-    """((document, item), first and last place of the hits) of a batch that pass the prefix, count and positional bounds."""
+    """((document, item), first and last place of the hits) of the connected places of a batch that pass the prefix, count
+    and positional bounds. These hold for every stretch that ``stretch`` can find and ``is_case`` accept."""
     none = np.zeros(SHINGLE, np.int64)
     whole = np.concatenate([x for d in docs for x in (d, none)])
     start = np.concatenate([[0], np.cumsum([len(d) + SHINGLE for d in docs])])
@@ -174,33 +178,43 @@ def _candidates(block: ItemBlock, docs: list[np.ndarray]):
     order = np.lexsort((diagonal, pair))
     pair, need = pair[order], need[order]
     line = pair * np.int64(1 << 32) + diagonal[order]
-    close = np.searchsorted(line, line + DRIFT, side="right") - np.arange(len(line)) >= need
+    close = np.searchsorted(line, line + block.drift[pair % len(block.ids)], side="right") - np.arange(len(line)) >= need
     bounds = np.searchsorted(all_at, start)
     for k in np.unique(pair[close]):
         d, i = divmod(int(k), len(block.ids))
-        # the count over all shingles, in the same band of diagonals
+        # all shingles: connected places that span enough of the item without too large a gap in it
         mine, p = all_shingles[bounds[d] : bounds[d + 1]], all_at[bounds[d] : bounds[d + 1]] - start[d]
         own, where = block.own[i]
         lo = np.searchsorted(own, mine)
         m = np.searchsorted(own, mine, side="right") - lo
         p, q = np.repeat(p, m), where[_spread(lo, m)]
-        by = np.argsort(p - q, kind="stable")
-        p, q = p[by], q[by]
-        ends = np.searchsorted(p - q, p - q + DRIFT, side="right")
-        full = np.flatnonzero(ends - np.arange(len(p)) >= block.least[i])
-        if len(full):
-            spots = np.concatenate([p[a:b] for a, b in zip(full, ends[full])])
-            yield (d, i), int(spots.min()), int(spots.max())
+        if not _spans(q, block.span[i]):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(p) > DOC_GAP + SHINGLE) + 1), len(p)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y - x >= block.least[i] and _spans(q[x:y], block.span[i]):
+                yield (d, i), int(p[x]), int(p[y - 1])
+
+
+def _spans(q: np.ndarray, span: int) -> bool:
+    """Whether shingles at these places of an item, in any order, span so many words without a gap that no stretch has."""
+    q = np.sort(q)
+    if not len(q) or q[-1] - q[0] + SHINGLE < span:
+        return False
+    ends = np.append(np.flatnonzero(np.diff(q) > ITEM_GAP + SHINGLE), len(q) - 1)
+    return bool((q[ends] - q[np.append(0, ends[:-1] + 1)]).max() + SHINGLE >= span)
 
 
-def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, intact: float = 0.4) -> DataFrame:
+def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, share: float = 0.5, intact: float | None = None) -> DataFrame:
     """Documents that reproduce an item's passage: ``doc_id``, ``item_id``, ``item_words``, ``spanned_words``,
     ``matched_words``, ``coverage`` (spanned / item words), ``first_word``, ``last_word`` (places in the document).
 
     A pair is found if one connected stretch of the document spans at least ``share`` of the item's words in their order
     and at least three quarters of the words it spans are equal; of the document's words between its ends at least half
-    must be the item's. ``intact`` bounds the candidate search: of the shingles
-    of such a stretch that share must be undamaged. Blanked words (``____``) are no words.
+    must be the item's. A stretch hangs together by
+    runs of three equal words with at most ITEM_GAP of the item's words between them; the candidate search loses none.
+    ``intact`` narrows it: of the shingles of a stretch that share must be undamaged. Blanked words (``____``) are no
+    words.
 
     Cases: null or empty texts and passages without three words match nothing; a passage that stands several times in a
     document gives one row; repeated rows of a document or item give rows each; extra columns are ignored; empty tables
@@ -223,7 +237,7 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     return found if found is not None else spark.createDataFrame([], out)
 
 
-def _blocks(items: DataFrame, share: float, intact: float):
+def _blocks(items: DataFrame, share: float, intact: float | None):
     ids, passages, n = [], [], 0
     for ident, passage in items.toLocalIterator():
         w = words((passage or "").replace("_", " "))
@@ -288,13 +302,13 @@ def _one_block(source: DataFrame, block: ItemBlock, out: T.StructType, share: fl
             for lo in range(0, t.num_rows, BATCH_DOCS):
                 part = t.slice(lo, BATCH_DOCS)
                 ids = [numbers(b, x.as_py()) for x in column(part, "ids")]
-                rows = []
+                best = {}
                 for (d, i), first, last in _candidates(b, ids):
                     item = b.words[i]
-                    a = max(0, first - len(item) - DRIFT)
-                    spanned, matched, s, e = stretch(item, ids[d][a : last + len(item) + DRIFT])
-                    if is_case(len(item), spanned, matched, e - s + 1, share):
-                        rows.append((d, b.ids[i], len(item), spanned, matched, spanned / len(item), a + s, a + e))
+                    spanned, matched, start, end = stretch(item, ids[d][first : last + SHINGLE])
+                    if is_case(len(item), spanned, matched, end - start + 1, share) and matched > best.get((d, i), (0, 0))[1]:
+                        best[d, i] = spanned, matched, first + start, first + end
+                rows = [(d, b.ids[i], len(b.words[i]), spanned, matched, spanned / len(b.words[i]), *ends) for (d, i), (spanned, matched, *ends) in best.items()]
                 if rows:
                     d, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(pa.array(d)), *[pa.array(c, f.type) for c, f in zip(rest, list(schema)[1:])]], schema=schema)

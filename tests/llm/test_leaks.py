@@ -81,6 +81,40 @@ def test_candidates_lose_nothing(corpus):
     assert exact and exact <= kept and len(kept) < len(docs) * len(items) / 4
 
 
+def test_finds_evenly_damaged_and_short_passages(spark):
+    r = random.Random(4)
+    long, short, tiny, twice = text_of(r, 120), text_of(r, 8), text_of(r, 5), text_of(r, 12) * 5
+    damaged = [w + "q" if k % 4 == 3 else w for k, w in enumerate(long[30:93])]
+    apart = [x for k, w in enumerate(long[:70]) for x in ([w, "strange"] if k % 11 in (2, 4, 6, 8, 10) else [w])]
+    docs = [(k, " ".join(text_of(r, 40) + part + text_of(r, 40))) for k, part in enumerate((damaged, apart, short[2:6], tiny[1:4], twice[:30], long[:50], short[:3]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((long, short, tiny, twice))], "item_id bigint, passage string")
+    got = L.leaked_passages(df, "doc_id", "text", ev, "item_id", "passage").collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_candidates_lose_no_damaged_stretch():
+    """As test_candidates_lose_nothing, for stretches of any damage and items of any length."""
+    r = random.Random(6)
+    items = [text_of(r, n) for n in (4, 5, 7, 9, 12, 20, 33, 60, 90, 140)] + [text_of(r, 6) * 6]
+    docs = []
+    for _ in range(300):
+        item = r.choice(items)
+        part = item[r.randrange(0, len(item) // 3) :]
+        rate, kinds = r.choice([0.05, 0.15, 0.25, 0.35]), r.choice([(0,), (1,), (2,), (0, 1, 2)])
+        bad = [("zz", "", w + " zz")[r.choice(kinds)] if r.random() < rate else w for w in part]
+        docs.append(words(" ".join(text_of(r, 30) + bad + text_of(r, 30))))
+    block = L.ItemBlock(list(range(len(items))), [words(" ".join(w)) for w in items], 0.5)
+    ids = [np.array([block.vocab.get(w, 0) for w in d], dtype=np.int64) for d in docs]
+    df = np.zeros(len(block.shingles), np.int64)
+    for x in ids:
+        df[np.unique(block.hits(x)[1])] += 1
+    block.prefixes(df)
+    kept = {pair for pair, *_ in L._candidates(block, ids)}
+    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(block.words) if L.is_case(len(w), (s := L.stretch(w, ids[d]))[0], s[1], s[3] - s[2] + 1, 0.5)}
+    assert len(exact) > 100 and exact <= kept
+
+
 def test_blocks_of_items_and_empty_tables(spark, corpus, monkeypatch):
     docs, items, truth = corpus
     df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")

@@ -6,7 +6,7 @@ import pytest
 pytest.importorskip("shardloom.llm")
 
 from shardloom.llm import leaks as L
-from shardloom.llm.words import repaired, words
+from shardloom.llm.words import repaired, word_hashes, words
 
 
 def test_words_survive_damage():
@@ -67,18 +67,86 @@ def test_finds_planted_passages(spark, corpus):
     assert report == {i: sum(x == i for _, x in truth) for _, i in truth}
 
 
-def test_candidates_lose_nothing(corpus):
-    """The prefix, count and position bounds against the exact check of every pair."""
-    docs, items, _ = corpus
-    block = L.ItemBlock([i for i, _ in items], [words(t) for _, t in items], 0.5, 0.4)
-    ids = [np.array([block.vocab.get(w, 0) for w in words(t)], dtype=np.int64) for _, t in docs]
-    df = np.zeros(len(block.shingles), np.int64)
+def kept_and_exact(items, docs):
+    """Pairs that the search finds, and those that the exact check of every pair accepts."""
+    own = [word_hashes(" ".join(w)) for w in items]
+    ids = [word_hashes(" ".join(d)) for d in docs]
+    block = L.ItemBlock(list(range(len(own))), own, 0.5)
+    counts = np.zeros(len(block.code))
     for x in ids:
-        df[np.unique(block.hits(x)[1])] += 1
-    block.prefixes(df)
-    kept = {pair for pair, *_ in L._candidates(block, ids)}
-    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(block.words) if L.is_case(len(w), (s := L.stretch(w, ids[d]))[0], s[1], s[3] - s[2] + 1, 0.5)}
-    assert exact and exact <= kept and len(kept) < len(docs) * len(items) / 4
+        counts[np.unique(block.hits(x)[1])] += 1
+    picked = [L.anchors(c, int(s) - 2, 11) for c, s in zip(block.costs(counts), block.span)]
+    block = L.ItemBlock(block.ids, own, 0.5, picked)
+    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(own) if L.is_case(len(w), *(s := L.stretch(w, ids[d]))[:2], s[3] - s[2] + 1, 0.5)}
+    return set(L.found_in(block, ids, 24, 8)), exact
+
+
+def test_search_loses_nothing(corpus):
+    """Rare prefixes and bounds of count and position against the exact check of every pair."""
+    docs, items, _ = corpus
+    kept, exact = kept_and_exact([t.split() for _, t in items], [(t or "").split() for _, t in docs])
+    assert exact and exact == kept
+
+
+@pytest.mark.parametrize("lengths", [range(3, 16), range(16, 61, 4), (70, 90, 140)])
+def test_search_loses_no_damaged_stretch(lengths):
+    """Stretches of any damage and items of any length; copies of common phrases stand in all of them."""
+    r = random.Random(6)
+    phrase = text_of(r, 9)
+    items = [text_of(r, n) for n in lengths] + [text_of(r, 6) * 6]
+    for w in items[1:-1:2]:
+        w[len(w) // 3 : len(w) // 3 + 9] = phrase[: len(w) // 2]
+    docs = []
+    for k in range(260):
+        item = r.choice(items)
+        part = item[r.randrange(0, len(item) // 3 + 1) :]
+        rate, kinds = r.choice([0, 0.05, 0.15, 0.25, 0.35]), r.choice([(0,), (1,), (2,), (0, 1, 2)])
+        bad = [("zz", "", w + " zz")[r.choice(kinds)] if r.random() < rate else w for w in part]
+        if k % 3 == 0:
+            bad = [w + "q" if n % 4 == 3 else w for n, w in enumerate(part)]
+        docs.append(" ".join(text_of(r, 30) + bad + phrase + text_of(r, 30)).split())
+    kept, exact = kept_and_exact(items, docs)
+    assert len(exact) > 100 and exact == kept
+
+
+def test_short_items_and_every_fourth_word_damaged():
+    """Half of an item exactly, and all of it with every fourth word damaged, at every length from 6 words on."""
+    r = random.Random(9)
+    for n in range(6, 61):
+        item = text_of(r, n)
+        docs = [text_of(r, 20) + item[: -(-n // 2)] + text_of(r, 20), text_of(r, 20) + [w + "q" if k % 4 == 3 else w for k, w in enumerate(item)] + text_of(r, 20)]
+        kept, exact = kept_and_exact([item], docs)
+        assert kept == exact and (0, 0) in kept and ((1, 0) in kept or n == 7), n  # of 7 words a run of 3 is less than half
+
+
+def test_anchors_meet_every_stretch():
+    r = np.random.default_rng(1)
+    for n in range(1, 60):
+        for places in range(1, n + 1):
+            for window in (3, 11):
+                got = set(L.anchors(r.random(n), places, window).tolist())
+                need = range(places - window + 1) if places >= window else ()
+                assert all(any(all(x + a + k in got for k in range(window)) for a in need) if need else got == set(range(n)) for x in range(n - places + 1))
+
+
+def test_long_documents_in_pieces(monkeypatch):
+    r = random.Random(3)
+    item = text_of(r, 60)
+    doc = text_of(r, 3_000)
+    for at in (995, 1_990):
+        doc[at : at + 40] = item[5:45]
+    monkeypatch.setattr(L, "BATCH_WORDS", 1_000)
+    kept, exact = kept_and_exact([item], [doc])
+    assert kept == exact == {(0, 0)}
+
+
+def test_hashes_are_those_of_words():
+    text = "La señora no aceptó; " * 3 + "x" * 50 + " Straße 北京"
+    w, h = words(text), word_hashes(text)
+    assert len(w) == len(h) and len(set(w)) == len(set(h.tolist())) and all(h) and word_hashes(None).tolist() == word_hashes(" .").tolist() == []
+    long = " ".join(f"w{k}" for k in range(300_000))  # more than a piece
+    assert word_hashes(long)[[0, 1, 200_000, 299_999]].tolist() == [word_hashes(f"w{k}")[0] for k in (0, 1, 200_000, 299_999)]
+    assert len(word_hashes("a" * 3_000_000 + " b")) == 2
 
 
 def test_finds_evenly_damaged_and_short_passages(spark):
@@ -93,38 +161,37 @@ def test_finds_evenly_damaged_and_short_passages(spark):
     assert sorted((x.doc_id, x.item_id) for x in got) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
 
 
-def test_candidates_lose_no_damaged_stretch():
-    """As test_candidates_lose_nothing, for stretches of any damage and items of any length."""
-    r = random.Random(6)
-    items = [text_of(r, n) for n in (4, 5, 7, 9, 12, 20, 33, 60, 90, 140)] + [text_of(r, 6) * 6]
-    docs = []
-    for _ in range(300):
-        item = r.choice(items)
-        part = item[r.randrange(0, len(item) // 3) :]
-        rate, kinds = r.choice([0.05, 0.15, 0.25, 0.35]), r.choice([(0,), (1,), (2,), (0, 1, 2)])
-        bad = [("zz", "", w + " zz")[r.choice(kinds)] if r.random() < rate else w for w in part]
-        docs.append(words(" ".join(text_of(r, 30) + bad + text_of(r, 30))))
-    block = L.ItemBlock(list(range(len(items))), [words(" ".join(w)) for w in items], 0.5)
-    ids = [np.array([block.vocab.get(w, 0) for w in d], dtype=np.int64) for d in docs]
-    df = np.zeros(len(block.shingles), np.int64)
-    for x in ids:
-        df[np.unique(block.hits(x)[1])] += 1
-    block.prefixes(df)
-    kept = {pair for pair, *_ in L._candidates(block, ids)}
-    exact = {(d, i) for d in range(len(ids)) for i, w in enumerate(block.words) if L.is_case(len(w), (s := L.stretch(w, ids[d]))[0], s[1], s[3] - s[2] + 1, 0.5)}
-    assert len(exact) > 100 and exact <= kept
-
-
 def test_blocks_of_items_and_empty_tables(spark, corpus, monkeypatch):
+    """With many blocks of items, and prefixes taken in several passes, the text is read once."""
     docs, items, truth = corpus
-    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, passage string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    once = df.mapInArrow(seen, df.schema)
     monkeypatch.setattr(L, "BLOCK_WORDS", 200)
-    assert {tuple(r)[:2] for r in L.leaked_passages(df, "doc_id", "text", ev, "item_id", "passage").collect()} == truth
+    monkeypatch.setattr(L, "MOST_ANCHORS", 150)
+    monkeypatch.setattr(L, "SALT_WORDS", 2_000)
+    assert {tuple(r)[:2] for r in L.leaked_passages(once, "doc_id", "text", ev, "item_id", "passage").collect()} == truth
+    assert read.value == len(docs)
     assert L.leaked_passages(df, "doc_id", "text", ev.limit(0), "item_id", "passage").collect() == []
     assert L.leaked_passages(df.limit(0), "doc_id", "text", ev, "item_id", "passage").collect() == []
 
 
+def test_repeated_rows_and_null_ids(spark):
+    r = random.Random(5)
+    item = " ".join(text_of(r, 30))
+    df = spark.createDataFrame([("a", item), ("a", item), (None, item), ("b", None)], "doc_id string, text string")
+    ev = spark.createDataFrame([(None, item), ("i", item)], "item_id string, passage string")
+    got = L.leaked_passages(df, "doc_id", "text", ev, "item_id", "passage").collect()
+    assert sorted((str(x.doc_id), str(x.item_id), x.coverage) for x in got) == sorted((d, i, 1.0) for d in ("None", "a", "a") for i in ("None", "i"))
+
+
 def test_stretch_is_exact():
-    item, doc = np.arange(1, 21), np.concatenate([[0, 0, 3, 4, 5, 6], [0], [8, 9, 10, 11], [0, 0]])
+    item, doc = np.arange(1, 21, dtype=np.uint32), np.array([0, 0, 3, 4, 5, 6, 0, 8, 9, 10, 11, 0, 0], np.uint32)
     assert L.stretch(item, doc) == (9, 8, 2, 10)
-    assert L.stretch(item, np.zeros(0, np.int64)) == (0, 0, 0, 0)
+    assert L.stretch(item, np.zeros(0, np.uint32)) == (0, 0, 0, 0)

@@ -12,7 +12,7 @@ from ..operators.features import feature_table, kinds_of
 from ..operators.orphans import orphan_report, orphans
 from ..operators.rolling import rolling_totals
 from ..operators.sessions import sessions
-from ..operators.skew import keyed_results
+from ..operators.skew import heavy_keys, keyed_results
 
 YEAR_END = dt.date(2026, 12, 31)
 
@@ -104,9 +104,9 @@ def p5_users(spark, d):
 
 
 def p5_found(spark, d):
-    a = _regions(spark, d).where(F.col("heavy") & (F.col("key") != "")).select(F.lit("region_order").alias("table_name"), F.col("key").alias("key_value"))
-    b = _buyers(spark, d).where(F.col("heavy") & (F.col("key") != 0)).select(F.lit("shop_orders").alias("table_name"), F.col("key").cast("string").alias("key_value"))
-    return a.unionAll(b)
+    regions = heavy_keys(_read(spark, d, "region_order").select("id", normalised("region").alias("region")), "region", 0.05, "id").where("key != ''")
+    buyers = heavy_keys(_read(spark, d, "shop_orders"), "user_id", 0.05, "id").where("key != 0")
+    return regions.select(F.lit("region_order").alias("table_name"), F.col("key").alias("key_value")).unionAll(buyers.select(F.lit("shop_orders"), F.col("key").cast("string")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_features, p2_cells, p3_found, p3_report, p4_found, p4_sessions, p5_found, p5_regions, p5_users)}

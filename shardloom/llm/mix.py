@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-import os
+import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,31 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MOST_SOURCES = 10_000
 #: Binary digits of a schedule point.
 BITS = 40
+#: Records of a bucket, about; each bucket is shuffled and added up by itself.
+BUCKET_RECORDS = 20_000
 #: Slots that the smallest target fills at least; blocks are made smaller for it.
 LEAST_SLOTS = 8
 
+#: Most bytes of a vocabulary file; it is sent to every executor, which need not have the file.
+MOST_VOCABULARY = 64 << 20
+
 _encodings: dict = {}
 
 
 def _encoding(path: str):
-    if path not in _encodings:
+    with open(path, "rb") as f:
+        return _tokenizer(f.read())
+
+
+def _tokenizer(raw: bytes):
+    """The tokenizer of a vocabulary file's content, kept for as long as the Python process."""
+    known = len(raw), zlib.crc32(raw)
+    if known not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _encodings[known] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[known]
 
 
 #: A text is cut for encoding at line ends after so many characters: the encoder's memory stays small on huge texts.
@@ -63,14 +75,18 @@ def with_tokens(df: DataFrame, text: str, name: str = "tokens", tokenizers: str
 
     Null and empty texts have 0 tokens. A column called ``name`` is replaced.
     """
-    path = f"{tokenizers}/{vocabulary}"
+    with open(f"{tokenizers}/{vocabulary}", "rb") as f:
+        raw = f.read(MOST_VOCABULARY + 1)
+    if len(raw) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes")
+    sent = df.sparkSession.sparkContext.broadcast(raw)
     rest = [f for f in df.schema.fields if f.name not in (text, name)]
     out = T.StructType([*rest, T.StructField(name, T.LongType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        enc, schema = _encoding(path), to_arrow_schema(out)
+        enc, schema = _tokenizer(sent.value), to_arrow_schema(out)
         for b in batches:
             n = [token_count(enc, x.as_py()) for x in b.column(text)]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], pa.array(n, pa.int64())], schema=schema)
@@ -150,15 +166,16 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     stretch of slots holds the weights closely; the r-th slot of a source takes its r-th block of shuffled records,
     starting over up to ``max_repeat`` times. A slot has ``block_tokens`` tokens, or fewer if the smallest target of a
     source with tokens would fill less than LEAST_SLOTS of them. The last block of a source ends with the record that
-    reaches its ``target_tokens``, so at every size a source that is not used up gives its target and less than one
-    record more; the last slots of a mix may therefore lie a little behind its size. Slots of a source that is used up
+    reaches its ``target_tokens`` (rounded up), so at every size a source that is not used up gives its target and less
+    than one record more; the last slots of a mix may therefore lie a little behind its size. Slots of a source that is used up
     stay empty. Order by slot, then by ``place`` within it.
 
     A record longer than a block fills the slots it reaches into. Records without tokens are left out. The shuffle is by
     hash of seed, use and record, so it is repeatable; each use is shuffled anew.
 
-    Plan: the places of a source's tokens come from sums per hash bucket (a bounded number per source) and windows
-    within a bucket, so a source that holds most records is spread like any other; slots are computed, not joined.
+    Plan: the places of a source's tokens come from sums per hash bucket (one per BUCKET_RECORDS records of the source)
+    and windows within a bucket, so a source that holds most records is spread like any other; buckets beyond the budget
+    are left out before the windows; slots are computed, not joined.
     """
     spark = rows.sparkSession
     plan = [r.asDict() for r in shares(rows, targets).orderBy("source").limit(MOST_SOURCES + 1).collect()]
@@ -167,7 +184,7 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     if not plan or not any(r["target_tokens"] for r in plan):
         return spark.createDataFrame([], "slot bigint, source string, block bigint, use int, doc_id string, tokens bigint, place bigint")
     schedule, names = Schedule([r["weight"] for r in plan]), [r["source"] for r in plan]
-    budgets = [round(r["target_tokens"]) for r in plan]
+    budgets = [math.ceil(r["target_tokens"]) for r in plan]
     block_tokens = max(1, min([block_tokens, *[b // LEAST_SLOTS for b, r in zip(budgets, plan) if b and r["tokens"]]]))
     blocks = [-(-b // block_tokens) if r["tokens"] else 0 for b, r in zip(budgets, plan)]
     if any(n and schedule.edges[k] == schedule.edges[k + 1] for k, n in enumerate(blocks)):
@@ -176,13 +193,14 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     while any(schedule.ranks(np.array([n_slots]), k)[0] < n for k, n in enumerate(blocks)):
         n_slots *= 2
     uses = [min(r["max_repeat"], -(-b // r["tokens"])) if r["tokens"] else 0 for r, b in zip(plan, budgets)]
-    wanted = spark.createDataFrame([(k, s, max(u, 0), b, r["tokens"]) for k, (s, u, b, r) in enumerate(zip(names, uses, budgets, plan))], "k int, source string, uses int, budget bigint, of_source bigint")
-    buckets = max(1, min(4096, sum(r["records"] for r in plan) // 20_000))
-    used = rows.where("tokens > 0").join(F.broadcast(wanted), "source").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1))) if any(uses) else rows.where("false").join(F.broadcast(wanted), "source").withColumn("use", F.lit(0))
-    used = used.where(F.col("uses") > 0).withColumn("order", F.xxhash64(F.lit(seed), F.col("use"), F.col("doc_id")))
-    used = used.withColumn("bucket", F.pmod(F.shiftright("order", 40), F.lit(buckets)))
-    per = used.groupBy("k", "use", "bucket").agg(F.sum("tokens").alias("sum"))
-    before = per.withColumn("before", F.sum("sum").over(Window.partitionBy("k", "use").orderBy("bucket")) - F.col("sum")).drop("sum")
+    wanted = spark.createDataFrame([(k, s, max(u, 0), b, r["tokens"], max(1, r["records"] // BUCKET_RECORDS)) for k, (s, u, b, r) in enumerate(zip(names, uses, budgets, plan))], "k int, source string, uses int, budget bigint, of_source bigint, buckets bigint")
+    used = rows.where("tokens > 0").join(F.broadcast(wanted.where("uses > 0")), "source").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
+    used = used.withColumn("order", F.xxhash64(F.lit(seed), F.col("use"), F.col("doc_id"))).withColumn("bucket", F.pmod(F.shiftright("order", 24), F.col("buckets")))
+    per = used.groupBy("k", "use", "bucket", "budget", "of_source").agg(F.sum("tokens").alias("sum")).withColumn("part", F.floor(F.col("bucket") / 4_096))
+    parts = per.groupBy("k", "use", "part").agg(F.sum("sum").alias("sum")).withColumn("upto", F.sum("sum").over(Window.partitionBy("k", "use").orderBy("part")))
+    before = per.join(parts.select("k", "use", "part", (F.col("upto") - F.col("sum")).alias("early")), ["k", "use", "part"])
+    before = before.withColumn("before", F.col("early") + F.sum("sum").over(Window.partitionBy("k", "use", "part").orderBy("bucket")) - F.col("sum"))
+    before = before.where(F.col("use") * F.col("of_source") + F.col("before") < F.col("budget")).select("k", "use", "bucket", "before")
     w = Window.partitionBy("k", "use", "bucket").orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = used.join(before, ["k", "use", "bucket"]).withColumn("place", F.col("use") * F.col("of_source") + F.col("before") + F.sum("tokens").over(w) - F.col("tokens"))
     placed = placed.where(F.col("place") < F.col("budget")).withColumn("rank", F.floor(F.col("place") / block_tokens).cast("bigint"))
@@ -210,9 +228,15 @@ def mixed(rows: DataFrame, targets: DataFrame, block_tokens: int = 65_536, seed:
     return placed.mapInArrow(slots, out).withColumnRenamed("rank", "block")
 
 
-def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_report(mix: DataFrame, targets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Shares of a mix as it came out: ``source``, ``target_share``, ``actual_share``, ``tokens``, ``records``,
-    ``most_uses``. Sources of the targets that gave nothing have 0."""
+    ``most_uses`` and, given the ``rows`` it was made from, ``target_tokens`` (of a mix as large as all of them) and
+    ``reached``, whether the source gave these. Sources of the targets that gave nothing have 0."""
     per = mix.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), F.max(F.col("use") + 1).alias("most_uses"))
-    t = targets.select(normalised("source").alias("source"), F.col("weight").alias("target_share")).join(per, "source", "left").fillna(0, ["tokens", "records", "most_uses"])
-    return t.select("source", "target_share", (F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0))).alias("actual_share"), "tokens", "records", "most_uses")
+    t = targets.select(normalised("source").alias("source"), F.col("weight").cast("double").alias("target_share")).join(per, "source", "left").fillna(0, ["tokens", "records", "most_uses"])
+    share = F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0))  # a row per source
+    out = t.withColumn("actual_share", share).select("source", "target_share", "actual_share", "tokens", "records", "most_uses")
+    if rows is None:
+        return out
+    target = F.col("target_share") * F.coalesce(rows.agg(F.sum("tokens")).scalar(), F.lit(0))
+    return out.withColumn("target_tokens", target).withColumn("reached", F.col("tokens") >= F.col("target_tokens"))

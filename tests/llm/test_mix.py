@@ -111,3 +111,43 @@ def test_empty(spark, rows):
 def test_measured_leaves_out_documents_without_source(spark):
     df = spark.createDataFrame([(1, "a b", " A\t"), (2, "x", None), (3, "x", " "), (4, None, "b")], "doc_id bigint, text string, source string")
     assert sorted(map(tuple, M.measured(df, "doc_id", "text", "source").collect())) == [(1, "a", 2), (4, "b", 0)]
+
+
+def test_reached_is_read_off_the_mix(spark, rows):
+    """What the mix gave decides like the capacities of ``shares``, at the edges too."""
+    data, df = rows
+    total, have = sum(t for *_, t in data), sum(t for _, s, t in data if s == "mid")
+    for w in (0.01, 2 * have / total, 2 * (have + 1) / total, 2 * (have - 1) / total, 0.9):
+        targets = spark.createDataFrame([("mid", w, 2), ("big", 1 - w, 9), ("none", 0.05, 9)], TARGETS)
+        want = {r.source: r.reached for r in M.shares(df, targets).collect()}
+        assert {r.source: r.reached for r in M.mix_report(M.mixed(df, targets), targets, df).collect()} == want
+
+
+def test_many_buckets_give_the_same_order(spark, rows, monkeypatch):
+    """Places are those of one long shuffled list per source and use, whatever the buckets."""
+    _, df = rows
+    targets = spark.createDataFrame([("mid", 0.3, 3), ("big", 0.7, 1)], TARGETS)
+    monkeypatch.setattr(M, "BUCKET_RECORDS", 3)
+    got = M.mixed(df, targets, 2000).collect()
+    for s in ("mid", "big"):
+        mine = sorted((r.place, r.tokens) for r in got if r.source == s)
+        assert [p for p, _ in mine] == [0, *np.cumsum([t for _, t in mine])[:-1].tolist()]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["p7_letter_shares", "p7_letter_report"])
+def test_sql(spark, name):
+    import glob
+
+    import duckdb
+
+    from shardloom.llm import queries as Q
+
+    c = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df, want = Q.QUERIES[name](spark, "/root/testdata/sf0.001"), c.sql(Q.SQL[name])
+    order = sorted(df.columns)
+    assert order == sorted(want.columns)
+    rows = sorted(tuple(r[c] for c in order) for r in df.collect())
+    assert rows == sorted(tuple(dict(zip(want.columns, r))[c] for c in order) for r in want.fetchall())

@@ -23,7 +23,8 @@ from .errors import DifferentSuffix, MissingShardingKey, ShardingError
 from .functions.text import operation
 from .plans.predicate import ALL, Pruner, either, scans
 from .plans.rules import DEFAULT_DB, Entry, Router, ShardCatalog
-from .sources.routing import Operation, find_router, select_pool, trace
+from .plans.statements import QUOTED, Reference, references, renamed, split_change
+from .sources.routing import Operation, select_pool, trace
 
 _HINT = re.compile(r"/\*\+[^*]*\bnosharding\b[^*]*\*/", re.I)
 _FOR_UPDATE = re.compile(r"\s+for\s+update\s*;?\s*\Z", re.I)
@@ -64,7 +65,7 @@ def quote(value: Any) -> str:
 def bind(sql: str, args: Sequence[Any]) -> str:
     """``sql`` with its ``?`` outside of quotes and comments replaced by literals."""
     out, rest = [], list(args)
-    for part in re.split(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", sql, flags=re.S):
+    for part in QUOTED.split(sql):
         if part[:1] in ("'", '"', "`") or part[:2] in ("--", "/*"):
             out.append(part)
             continue
@@ -87,7 +88,6 @@ class Engine:
     def __init__(self, catalog: ShardCatalog):
         self.catalog, self.spark = catalog.initialize(), catalog.spark
         self._jvm, self._session = self.spark._jvm, self.spark._jsparkSession
-        self._listed: dict[str, DataFrame | None] = {}
 
     # files
 
@@ -112,15 +112,15 @@ class Engine:
 
     # routing
 
-    def _router(self, entry: Entry, db: int) -> Router | None:
-        return entry.rule.routers[db] if 0 <= db < len(entry.rule.routers) else None
+    def _router(self, entry: Entry, db: int, use: str | None = None) -> Router | None:
+        return entry.rule.router(db, entry.name, use) if 0 <= db < len(entry.rule.databases) else None
 
     def _roots(self, entry: Entry, op: Operation, use: str | None = None) -> tuple[dict[int, str], str]:
-        """Root of every database for an operation, and the label of the pools."""
+        """Root of every database for an operation, and the label of the pools: of each database's routers the one named
+        by ``use``, then the one that serves the table, then the one that serves all."""
         labels, roots = [], {DEFAULT_DB: self.catalog.default_root}
-        for i, r in enumerate(entry.rule.routers):
-            r = find_router(entry.rule.routers, use) if use else r
-            roots[i], label = select_pool(r, op, self.catalog.default_root)
+        for i in range(len(entry.rule.databases)):
+            roots[i], label = select_pool(self._router(entry, i, use), op, self.catalog.default_root)
             labels.append(label)
         return roots, labels[0] if labels else ("source" if op is Operation.WRITE else "replica")
 
@@ -128,7 +128,9 @@ class Engine:
         return T.StructType([*schema.fields, T.StructField("_db", T.IntegerType()), T.StructField("_tbl", T.StringType())])
 
     def scan(self, table: str, shards=ALL, op: Operation = Operation.READ, use: str | None = None, roots: dict[int, str] | None = None) -> DataFrame:
-        """The table's rows in ``shards`` with their ``_db`` and ``_tbl``: one scan per root, with partition filters."""
+        """The table's rows in ``shards`` with their ``_db`` and ``_tbl``: one scan per root, with partition filters. A root
+        that does not hold the table though another one does (a replica never synced, a lost folder) is an error; a table
+        that nothing was written to yet is empty."""
         entry = self.catalog.entry(table)
         schema = self._stored(self.catalog.schema_of(entry))
         if roots is None:
@@ -137,13 +139,11 @@ class Engine:
         for db, root in roots.items():
             if shards is ALL or any(d in (None, db) for d, _ in shards):
                 by_root.setdefault(root, []).append(db)
-        out = None
+        out, missing = None, []
         for root, dbs in by_root.items():
-            base = f"{root}/{entry.name}"
-            if base not in self._listed:
-                self._listed[base] = self.spark.read.schema(schema).option("basePath", base).parquet(base) if self._exists(base) else None
-            one = self._listed[base]
+            one = self._listed(root, entry.name, schema)
             if one is None:
+                missing.append(root)
                 continue
             if len(dbs) < len(roots):
                 one = one.where(F.col("_db").isin(dbs))
@@ -159,12 +159,20 @@ class Engine:
                     cond = cond | here
                 one = one.where(cond)
             out = one if out is None else out.unionByName(one)
+        if missing and any(self._exists(f"{r}/{entry.name}") for r in self.roots(entry.name)):
+            raise ShardingError(f"{', '.join(missing)} does not hold {entry.name}: sync_replicas makes replicas")
         return self.spark.createDataFrame([], schema) if out is None else out
 
+    def _listed(self, root: str, table: str, schema: T.StructType) -> DataFrame | None:
+        """The table's files under a root, listed once for as long as the root's pool keeps them."""
+        kept, base = self.catalog.pools.pool(root).tables, f"{root}/{table}"
+        if table not in kept and self._exists(base):
+            kept[table] = self.spark.read.schema(schema).option("basePath", base).parquet(base)
+        return kept.get(table)
+
     def refresh(self, table: str) -> None:
         """Forget the listed files of a table, after something else has changed them."""
-        for base in [b for b in self._listed if b.rsplit("/", 1)[-1] == table.lower()]:
-            del self._listed[base]
+        self.catalog.pools.forget(table.lower())
 
     def table(self, name: str, op: Operation = Operation.READ, use: str | None = None, ignore_sharding: bool = False) -> DataFrame:
         """The whole logical table; with ``ignore_sharding`` the table without suffix under the default root."""
@@ -188,13 +196,25 @@ class Engine:
             raise ShardingError(f"{entry.name} has no column {entry.rule.key}")
         return names[0]
 
-    def _named(self, sql: str) -> list[Entry]:
-        return [e for n, e in self.catalog.entries.items() if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", sql, re.I)]
+    def _references(self, sql: str) -> list[Reference]:
+        """The statement's mentions of tables of the catalog."""
+        return [r for r in references(self._session.sessionState().sqlParser(), sql) if r.name in self.catalog.entries]
 
-    def _views(self, entries, shards, roots):
-        for e in entries:
-            df = self.table(e.name) if e.rule is None else self.scan(e.name, shards.get(e.name, ALL), roots=roots[e.name]).drop("_db", "_tbl")
-            df.createOrReplaceTempView(e.name)
+    def _run(self, sql: str, args: Sequence[Any], tables: list[tuple[Reference, DataFrame]]) -> DataFrame:
+        """A query over frames in place of tables. Each frame is a view of its own name while the query is analysed, so
+        views of the session, and queries of other threads, are not touched."""
+        catalog, names = self._session.sessionState().catalog(), []
+        views: dict[int, str] = {}
+        try:
+            for r, df in tables:
+                if id(df) not in views:
+                    views[id(df)] = f"_shardloom_{uuid.uuid4().hex}"
+                    df.createOrReplaceTempView(views[id(df)])
+                names.append((r, views[id(df)]))
+            return self.spark.sql(renamed(sql, names), args=list(args) or None)
+        finally:
+            for name in views.values():
+                catalog.dropTempView(name)
 
     def _prune(self, df: DataFrame, entries, strict: bool):
         """Shard sets of the sharded tables of an analysed query."""
@@ -214,23 +234,28 @@ class Engine:
             sets[entry.name] = either(sets[entry.name], own) if entry.name in sets else own
         return sets
 
-    def resolve(self, sql: str, args: Sequence[Any] = (), op: Operation | None = None, strict: bool = False, use: str | None = None) -> tuple[DataFrame, Resolution]:
-        """A query's DataFrame over the shards it needs, and what was decided for it."""
+    def resolve(self, sql: str, args: Sequence[Any] = (), op: Operation | None = None, strict: bool = False, use: str | None = None, placed: str | None = None) -> tuple[DataFrame, Resolution]:
+        """A query's DataFrame over the shards it needs, and what was decided for it. The table called ``placed`` shows
+        the ``_db`` and ``_tbl`` of its rows."""
         text = _FOR_UPDATE.sub("", sql)
         if op is None:
             op = Operation.WRITE if text != sql else Operation(operation(sql))
-        entries = self._named(text)
+        refs = self._references(text)
+        entries = [self.catalog.entries[n] for n in dict.fromkeys(r.name for r in refs)]
         chosen = {e.name: self._roots(e, op, use) for e in entries if e.rule is not None}
         roots = {n: r for n, (r, _) in chosen.items()}
         result = Resolution(sql, [e.name for e in entries], op, labels={n: label for n, (_, label) in chosen.items()})
-        run = lambda: self.spark.sql(text, args=list(args) or None)
-        self._views(entries, {}, roots)
-        df = run()
+
+        def over(shards):
+            frames = {e.name: self.table(e.name) if e.rule is None else self.scan(e.name, shards.get(e.name, ALL), roots=roots[e.name]) for e in entries}
+            frames = {n: df if n == placed or self.catalog.entries[n].rule is None else df.drop("_db", "_tbl") for n, df in frames.items()}
+            return self._run(text, args, [(r, frames[r.name]) for r in refs])
+
+        df = over({})
         if not _HINT.search(text) and chosen:
             result.shards = self._prune(df, entries, strict)
             if any(s is not ALL for s in result.shards.values()):
-                self._views(entries, result.shards, roots)
-                df = run()
+                df = over(result.shards)
         for e in entries:
             self._said(e, result.labels.get(e.name, op.value), sql)
         return df, result
@@ -270,38 +295,85 @@ class Engine:
         db, tbl = entry.rule.place_exprs(F.col(self._key(entry)), df.schema[self._key(entry)].dataType)
         return df.withColumns({"_db": db, "_tbl": tbl})
 
-    def _move(self, source: str, target: str) -> None:
-        """Move the data files of a directory into another; a rename where both lie in one file system."""
-        fs, to = self._fs(source), self._fs(target)
-        to.mkdirs(self._path(target))
-        for f in fs.listStatus(self._path(source)):
-            name = f.getPath().getName()
-            if not name.startswith((".", "_")):
-                if fs.getUri().equals(to.getUri()):
-                    fs.rename(f.getPath(), self._path(f"{target}/{name}"))
-                else:
-                    self._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), to, self._path(f"{target}/{name}"), True, self._session.sessionState().newHadoopConf())
+    def _rename(self, fs, source: str, target: str) -> None:
+        if not fs.rename(self._path(source), self._path(target)):
+            raise ShardingError(f"{source} could not be renamed to {target}")
+
+    def _files(self, fs, folder: str) -> list[str]:
+        return [f.getPath().getName() for f in fs.listStatus(self._path(folder)) if not f.getPath().getName().startswith((".", "_"))]
+
+    def _commit(self, moves: list[tuple[str, str]], drop: list[str]) -> None:
+        """Put the files of folders into other folders of the same file system and remove the files of ``drop``.
+
+        New files arrive under names that scans do not see; then old files get such names and new ones their own; old
+        files are deleted last. Whatever fails before that is undone, so the old rows stay. Readers that list a folder
+        between two renames may see neither or both of its old and new files: several renames are not atomic together.
+        """
+        mark, undo, old = f".{uuid.uuid4().hex}-", [], []
+
+        def rename(fs, source, target):
+            self._rename(fs, source, target)
+            undo.append((fs, target, source))
+
+        try:
+            arrived = []
+            for source, target in moves:
+                fs = self._fs(target)
+                if not fs.mkdirs(self._path(target)):
+                    raise ShardingError(f"{target} could not be made")
+                for name in self._files(fs, source):
+                    rename(fs, f"{source}/{name}", f"{target}/{mark}{name}")
+                    arrived.append((fs, f"{target}/{mark}{name}", f"{target}/{name}"))
+            for folder in drop:
+                fs = self._fs(folder)
+                for name in self._files(fs, folder):
+                    rename(fs, f"{folder}/{name}", f"{folder}/{mark}old-{name}")
+                    old.append((fs, f"{folder}/{mark}old-{name}"))
+            for fs, source, target in arrived:
+                rename(fs, source, target)
+        except BaseException:
+            for fs, source, target in reversed(undo):
+                fs.rename(self._path(source), self._path(target))
+            raise
+        for fs, path in old:
+            fs.delete(self._path(path), False)
+        for folder in drop:
+            fs = self._fs(folder)
+            if not len(fs.listStatus(self._path(folder))):
+                fs.delete(self._path(folder), False)
+
+    def _stage(self, rows: DataFrame, roots: dict[int, str], table: str) -> dict[str, str]:
+        """Rows written beside the table, on each file system of the roots: (staging folder by file system)."""
+        by: dict[str, list[int]] = {}
+        for db, root in roots.items():
+            by.setdefault(self._fs(root).getUri().toString(), []).append(db)
+        out = {}
+        for dbs in by.values():
+            # databases of routers first: the default root is often empty
+            home = roots[max(dbs, key=lambda d: (d != DEFAULT_DB, -d))]
+            out[home] = f"{home}/{table}.staging-{uuid.uuid4().hex}"
+            part = rows if len(by) == 1 else rows.where(F.col("_db").isin(dbs))
+            part.write.partitionBy("_db", "_tbl").parquet(out[home])
+        return out
 
     def _replace(self, entry: Entry, placed: DataFrame, roots: dict[int, str], drop=()) -> int:
-        """Write placed rows beside the table in one job, then drop the shards in ``drop`` and move the new files to the
-        roots of their databases; the number of rows written. A job that fails leaves the table as it was; the moves are
-        not atomic together."""
-        home = next(iter(dict.fromkeys([*list(roots.values())[1:], *roots.values()])))
-        staging = f"{home}/{entry.name}.staging-{uuid.uuid4().hex}"
+        """Write placed rows beside the table in one job (one per file system), then put them in place of the shards in
+        ``drop``; the number of rows written. A change that fails leaves the table as it was."""
+        staged: dict[str, str] = {}
         try:
             # rebalance joins small pieces and splits shards that hold a large part of the rows
-            placed.hint("rebalance", "_db", "_tbl").write.partitionBy("_db", "_tbl").parquet(staging)
-            rows = self.spark.read.schema(placed.schema).parquet(staging).count()  # from the files' footers
+            staged = self._stage(placed.hint("rebalance", "_db", "_tbl"), roots, entry.name)
+            rows = sum(self.spark.read.schema(placed.schema).parquet(x).count() for x in staged.values())  # from the files' footers
             for root in dict.fromkeys(roots.values()):
-                for shard, path in self._shard_dirs(root, entry.name).items():
-                    if shard in drop and roots.get(shard[0]) == root:
-                        self._fs(path).delete(self._path(path), True)
-            for (db, _), path in self._shard_dirs(home, staging[len(home) + 1 :]).items():
-                self._move(path, f"{roots[db]}/{entry.name}/" + "/".join(path.rsplit("/", 2)[1:]))
+                self._fs(root).mkdirs(self._path(f"{root}/{entry.name}"))  # an empty table, not a missing one
+            gone = [path for root in dict.fromkeys(roots.values()) for shard, path in self._shard_dirs(root, entry.name).items() if shard in drop and roots.get(shard[0]) == root]
+            moves = [(path, f"{roots[shard[0]]}/{entry.name}/" + "/".join(path.rsplit("/", 2)[1:])) for home, x in staged.items() for shard, path in self._shard_dirs(home, x[len(home) + 1 :]).items()]
+            self._commit(moves, gone)
             return rows
         finally:
             self.refresh(entry.name)
-            self._fs(staging).delete(self._path(staging), True)
+            for x in staged.values():
+                self._fs(x).delete(self._path(x), True)
 
     def write(self, df: DataFrame, table: str, strict: bool = False) -> Resolution:
         """Append rows, each to its own shard; a null key fails the job, in strict mode so do rows of several shards."""
@@ -327,7 +399,7 @@ class Engine:
         schema = self.catalog.schema_of(entry)
         names = [c.strip().strip("`") for c in m[2].split(",")] if m[2] else schema.names
         body = sql[m.end() :].rstrip().rstrip(";")
-        rows = self.resolve(bind(body, args), op=Operation.WRITE)[0] if self._named(body) else self.spark.sql(bind(body, args))
+        rows = self.resolve(bind(body, args), op=Operation.WRITE)[0]
         if len(rows.columns) != len(names):
             raise ShardingError(f"{len(rows.columns)} values for {len(names)} columns")
         known = {n.lower(): n for n in schema.names}
@@ -341,71 +413,82 @@ class Engine:
         return out
 
     def _change_sql(self, sql, args, strict):
-        plan = self._session.sessionState().sqlParser().parsePlan(bind(sql, args).rstrip().rstrip(";"))
-        kind = plan.getClass().getSimpleName()
-        table = plan.table()
-        while not hasattr(table, "multipartIdentifier"):
-            table = table.child()
-        entry = self.catalog.entry(list(_seq(table.multipartIdentifier()))[-1])
+        text = bind(sql, args).rstrip().rstrip(";")
+        refs = references(self._session.sessionState().sqlParser(), text)
+        if not refs:
+            raise NotImplementedError("this form of UPDATE or DELETE is not supported")
+        entry = self.catalog.entry(refs[0].name)
         if entry.rule is None:
             raise NotImplementedError(f"{entry.name} is not sharded: rewrite it with DataFrames")
-        if kind == "DeleteFromTable":
-            out = self.delete(entry.name, plan.condition().sql(), strict)
-        else:
-            cond = plan.condition()
-            changes = {a.key().sql().split(".")[-1].strip("`"): a.value().sql() for a in _seq(plan.assignments())}
-            out = self.update(entry.name, changes, cond.get().sql() if cond.isDefined() else "true", strict)
+        alias, changes, cond = split_change(text[refs[0].stop :])
+        out = self.update(entry.name, changes, cond, strict, alias) if changes else self.delete(entry.name, cond, strict, alias)
         out.statement = sql
         self._said(entry, out.labels.get(entry.name, "source"), sql)
         return out
 
-    def _affected(self, entry: Entry, condition: str, strict: bool):
+    def _affected(self, entry: Entry, condition: str, strict: bool, alias: str):
+        """Roots, label, shards that hold rows of a condition, and how many rows: one scan of the shards it can match."""
         roots, label = self._roots(entry, Operation.WRITE)
-        probe = self.scan(entry.name, roots=roots).alias(entry.name).where(condition)
-        sets = self._prune(probe, [entry], strict)
-        shards = sets.get(entry.name, frozenset())
-        here = self.scan(entry.name, shards, roots=roots).alias(entry.name).where(condition)
-        hit = here.groupBy("_db", "_tbl").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per touched shard
+        df, _ = self.resolve(f"SELECT {alias}._db, {alias}._tbl, count(*) AS n FROM {entry.name} AS {alias} WHERE {condition} GROUP BY 1, 2", op=Operation.WRITE, strict=strict, placed=entry.name)
+        hit = df.collect()  # a row per touched shard
         return roots, label, [(r["_db"], r["_tbl"]) for r in hit], sum(r.n for r in hit)
 
-    def delete(self, table: str, condition: str = "true", strict: bool = False) -> Resolution:
-        """Delete rows, rewriting the shards that hold some; the number of rows is in the result."""
-        entry = self.catalog.entry(table)
-        roots, label, hit, n = self._affected(entry, condition, strict)
+    def _of(self, entry: Entry, what: str, condition: str, alias: str, shards, roots) -> DataFrame:
+        """Columns of the rows of some shards that meet a condition; tables in subqueries are read whole."""
+        text = f"SELECT {what} FROM {entry.name} AS {alias} WHERE {condition}"
+        refs = self._references(text)
+        own = self.scan(entry.name, frozenset(shards), roots=roots)
+        return self._run(text, (), [(r, own if k == 0 else self.table(r.name, Operation.WRITE)) for k, r in enumerate(sorted(refs, key=lambda r: r.start != text.index(f" FROM {entry.name} AS ") + 6))])
+
+    def delete(self, table: str, condition: str = "true", strict: bool = False, alias: str | None = None) -> Resolution:
+        """Delete rows, rewriting the shards that hold some; the number of rows is in the result. The condition may have
+        subqueries on tables of the catalog, which it sees as they were."""
+        entry, alias = self.catalog.entry(table), alias or table
+        roots, label, hit, n = self._affected(entry, condition, strict, alias)
         if n:
-            self._replace(entry, self.scan(table, frozenset(hit), roots=roots).alias(table).where(~F.coalesce(F.expr(condition), F.lit(False))), roots, hit)
+            self._replace(entry, self._of(entry, f"{alias}.*", f"NOT coalesce(({condition}), false)", alias, hit, roots), roots, hit)
         return Resolution("", [entry.name], Operation.WRITE, {entry.name: None}, {entry.name: label}, n)
 
-    def update(self, table: str, changes: dict[str, str], condition: str = "true", strict: bool = False) -> Resolution:
-        """Set columns to SQL expressions where a condition holds; rows whose key changes move to their new shard."""
-        entry = self.catalog.entry(table)
+    def update(self, table: str, changes: dict[str, str], condition: str = "true", strict: bool = False, alias: str | None = None) -> Resolution:
+        """Set columns to SQL expressions where a condition holds; rows whose key changes move to their new shard.
+        Condition and expressions may have subqueries on tables of the catalog, which they see as they were."""
+        entry, alias = self.catalog.entry(table), alias or table
         schema = self.catalog.schema_of(entry)
         known = {n.lower(): n for n in schema.names}
         changes = {known.get(k.lower(), k): v for k, v in changes.items()}
         if unknown := [k for k in changes if k not in schema.names]:
             raise ShardingError(f"{table} has no such columns: {', '.join(unknown)}")
-        roots, label, hit, n = self._affected(entry, condition, strict)
+        roots, label, hit, n = self._affected(entry, condition, strict, alias)
         if n:
-            rows = self.scan(table, frozenset(hit), roots=roots).alias(table)
-            holds = F.coalesce(F.expr(condition), F.lit(False))
-            rows = rows.select(*[F.when(holds, F.expr(changes[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in changes else F.col(f.name) for f in schema.fields])
+            new = ", ".join(f"CAST(({changes[f.name]}) AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name in changes else f"{alias}.`{f.name}`" for f in schema.fields)
+            old = ", ".join(f"{alias}.`{f.name}`" for f in schema.fields)
+            rows = self._of(entry, new, f"({condition})", alias, hit, roots).unionAll(self._of(entry, old, f"NOT coalesce(({condition}), false)", alias, hit, roots))
             self._replace(entry, self._placed(entry, rows), roots, hit)
         return Resolution("", [entry.name], Operation.WRITE, {entry.name: None}, {entry.name: label}, n)
 
     def sync_replicas(self, table: str) -> None:
-        """Make every replica of a table's databases a snapshot of its source as it is now."""
+        """Make every replica of a table's databases a snapshot of its source as it is now. Executors copy the rows, file
+        by file; a replica is switched when its copy is whole, and stays as it was if the copy fails."""
         entry = self.catalog.entry(table)
-        conf = self._session.sessionState().newHadoopConf()
         self.refresh(table)
-        for db, r in enumerate(entry.rule.routers):
-            source = f"{(list(r.sources) or [self.catalog.default_root])[0]}/{entry.name}/_db={db}"
+        schema = self._stored(self.catalog.schema_of(entry))
+        pairs: dict[tuple[str, str], list[int]] = {}
+        for db in range(len(entry.rule.databases)):
+            r = self._router(entry, db)
             for replica in r.replicas:
-                target = f"{replica}/{entry.name}/_db={db}"
-                fs = self._fs(target)
-                fs.delete(self._path(target), True)
+                pairs.setdefault(((list(r.sources) or [self.catalog.default_root])[0], replica), []).append(db)
+        for (source, replica), dbs in pairs.items():
+            rows = self._listed(source, entry.name, schema)
+            fs, staging = self._fs(replica), f"{replica}/{entry.name}.sync-{uuid.uuid4().hex}"
+            try:
                 fs.mkdirs(self._path(f"{replica}/{entry.name}"))
-                if self._exists(source):
-                    self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs(source), self._path(source), fs, self._path(target), False, conf)
+                if rows is not None:
+                    rows.where(F.col("_db").isin(dbs)).write.partitionBy("_db", "_tbl").parquet(staging)
+                gone = [path for (db, _), path in self._shard_dirs(replica, entry.name).items() if db in dbs]
+                self._commit([(path, f"{replica}/{entry.name}/" + "/".join(path.rsplit("/", 2)[1:])) for path in self._shard_dirs(replica, staging[len(replica) + 1 :]).values()], gone)
+            finally:
+                fs.delete(self._path(staging), True)
+        self.refresh(table)
 
 
 def _seq(seq):

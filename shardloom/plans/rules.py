@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import ShardingError
 from ..functions.strategies import PaddedModulo, Strategy, suffix_to_index, suffix_to_index_expr
 from ..sources.registry import PoolRegistry
-from ..sources.routing import Policy, RandomPolicy
+from ..sources.routing import Policy, RandomPolicy, find_router
 
 #: Directory value of the empty suffix.
 NO_SUFFIX = "_none"
@@ -24,7 +24,7 @@ DEFAULT_DB = -1
 @dataclass
 class Router:
     """One database: roots of its sources and replicas, and how one of them is chosen. A router with ``tables`` serves
-    those only."""
+    those only. Routers of one ``database`` number are alternatives for it; without a number each opens the next one."""
 
     name: str
     sources: Sequence[str] = ()
@@ -33,6 +33,7 @@ class Router:
     replica_policy: Policy | None = None
     trace: bool = False
     tables: Sequence[str] = ()
+    database: int | None = None
 
     def __post_init__(self):
         self.source_policy = self.source_policy or RandomPolicy()
@@ -62,14 +63,36 @@ class ShardingRule:
             self.database_strategy = PaddedModulo(self.database_shards)
         if len({r.name for r in self.routers}) < len(self.routers):
             raise ShardingError("two routers have one name")
+        for i, routers in enumerate(self.databases):
+            if not routers:
+                raise ShardingError(f"database {i} has no router")
+            served = [t.lower() for r in routers for t in r.tables]
+            if sum(not r.tables for r in routers) > 1 or len(set(served)) < len(served):
+                raise ShardingError(f"the routers of database {i} conflict: two serve the same tables")
+
+    @property
+    def databases(self) -> list[list[Router]]:
+        """The routers of each database."""
+        out: list[list[Router]] = []
+        for r in self.routers:
+            at = len(out) if r.database is None else r.database
+            out += [[] for _ in range(at + 1 - len(out))]
+            out[at].append(r)
+        return out
+
+    def router(self, database: int, table: str, use: str | None = None) -> Router | None:
+        """The router of a database for a table: the one named by ``use`` (wherever it stands), then the one that serves
+        the table, then the one that serves all."""
+        return find_router(self.routers, use) if use else find_router(self.databases[database], None, table)
 
     def _in_range(self, index: int) -> int:
-        return index if 0 <= index < len(self.routers) else DEFAULT_DB
+        return index if 0 <= index < len(self.databases) else DEFAULT_DB
 
     def place(self, value: Any) -> tuple[int, str]:
         """Database and table directory of a key value."""
         suffix = self.table_strategy.suffix(value)
-        db = DEFAULT_DB if self.database_strategy is None else self._in_range(suffix_to_index(self.database_strategy.suffix(value)))
+        # without a database function all rows are in the first database, as with one that gives no suffix
+        db = self._in_range(0 if self.database_strategy is None else suffix_to_index(self.database_strategy.suffix(value)))
         return db, suffix or NO_SUFFIX
 
     def place_exprs(self, key: Column, kind: T.DataType) -> tuple[Column, Column]:
@@ -77,9 +100,9 @@ class ShardingRule:
         suffix = self.table_strategy.expr(key, kind)
         table = F.when(suffix == "", NO_SUFFIX).otherwise(suffix)
         if self.database_strategy is None:
-            return F.lit(DEFAULT_DB), table
+            return F.lit(self._in_range(0)), table
         index = suffix_to_index_expr(self.database_strategy.expr(key, kind))
-        return F.when((index >= 0) & (index < len(self.routers)), index).otherwise(F.lit(DEFAULT_DB)).cast("int"), table
+        return F.when((index >= 0) & (index < len(self.databases)), index).otherwise(F.lit(DEFAULT_DB)).cast("int"), table
 
 
 @dataclass
@@ -118,9 +141,10 @@ class ShardCatalog:
         for e in self.entries.values():
             if e.rule is not None:
                 e.rule.compile()
+                for i in range(len(e.rule.databases)):
+                    if e.rule.router(i, e.name) is None:
+                        raise ShardingError(f"no router of database {i} serves {e.name}")
                 for r in e.rule.routers:
-                    if r.tables and e.name not in {t.lower() for t in r.tables} and len(e.rule.routers) == 1:
-                        raise ShardingError(f"no router serves {e.name}")
                     for root in (*r.sources, *r.replicas):
                         self.pools.get_or_create(root)
         return self

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import posixpath
 import threading
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 
 @dataclass
 class Pool:
+    """A root: how many use it, and the listed files of its tables, which reads go through."""
+
     key: str
     references: int = 0
-    cached: Any = None
+    tables: dict[str, Any] = field(default_factory=dict)
 
 
 def pool_key(root: str) -> str:
@@ -26,6 +28,7 @@ class PoolRegistry:
 
     def __init__(self):
         self._pools: dict[str, Pool] = {}
+        self._others: dict[str, Pool] = {}
         self._lock = threading.Lock()
 
     def get_or_create(self, root: str) -> Pool:
@@ -43,10 +46,20 @@ class PoolRegistry:
                 return
             pool.references -= 1
             if pool.references <= 0:
-                if pool.cached is not None and hasattr(pool.cached, "unpersist"):
-                    pool.cached.unpersist()
                 del self._pools[key]
 
+    def pool(self, root: str) -> Pool:
+        """The pool of a root that somebody uses; a pool of its own for one that nobody does (the default root)."""
+        key = pool_key(root)
+        with self._lock:
+            return self._pools.get(key) or self._others.setdefault(key, Pool(key))
+
+    def forget(self, table: str) -> None:
+        """Drop the listed files of a table in all pools."""
+        with self._lock:
+            for pool in (*self._pools.values(), *self._others.values()):
+                pool.tables.pop(table, None)
+
     def stats(self) -> dict[str, int]:
         """References by root."""
         with self._lock:

@@ -234,9 +234,15 @@ class Engine:
             sets[entry.name] = either(sets[entry.name], own) if entry.name in sets else own
         return sets
 
-    def resolve(self, sql: str, args: Sequence[Any] = (), op: Operation | None = None, strict: bool = False, use: str | None = None, placed: str | None = None) -> tuple[DataFrame, Resolution]:
-        """A query's DataFrame over the shards it needs, and what was decided for it. The table called ``placed`` shows
-        the ``_db`` and ``_tbl`` of its rows."""
+    def resolve(self, sql: str, args: Sequence[Any] = (), op: Operation | None = None, strict: bool = False, use: str | None = None) -> tuple[DataFrame, Resolution]:
+        """A query's DataFrame over the shards it needs, and what was decided for it."""
+        df, result = self._resolve(sql, args, op, strict, use)
+        for name in result.tables:
+            self._said(self.catalog.entries[name], result.labels.get(name, result.operation.value), sql)
+        return df, result
+
+    def _resolve(self, sql: str, args: Sequence[Any], op: Operation | None, strict: bool, use: str | None = None, placed: str | None = None) -> tuple[DataFrame, Resolution]:
+        """``resolve`` without a trace. The table called ``placed`` shows the ``_db`` and ``_tbl`` of its rows."""
         text = _FOR_UPDATE.sub("", sql)
         if op is None:
             op = Operation.WRITE if text != sql else Operation(operation(sql))
@@ -256,8 +262,6 @@ class Engine:
             result.shards = self._prune(df, entries, strict)
             if any(s is not ALL for s in result.shards.values()):
                 df = over(result.shards)
-        for e in entries:
-            self._said(e, result.labels.get(e.name, op.value), sql)
         return df, result
 
     def _said(self, entry: Entry, label: str, sql: str) -> None:
@@ -375,7 +379,7 @@ class Engine:
             for x in staged.values():
                 self._fs(x).delete(self._path(x), True)
 
-    def write(self, df: DataFrame, table: str, strict: bool = False) -> Resolution:
+    def write(self, df: DataFrame, table: str, strict: bool = False, use: str | None = None) -> Resolution:
         """Append rows, each to its own shard; a null key fails the job, in strict mode so do rows of several shards."""
         entry = self.catalog.entry(table)
         if entry.rule is None:
@@ -388,7 +392,7 @@ class Engine:
         placed = self._placed(entry, df)
         if strict and placed.select("_tbl").distinct().limit(2).count() > 1:
             raise DifferentSuffix("the rows belong to different table shards")
-        roots, label = self._roots(entry, Operation.WRITE)
+        roots, label = self._roots(entry, Operation.WRITE, use)
         return Resolution("", [entry.name], Operation.WRITE, labels={entry.name: label}, rows=self._replace(entry, placed, roots))
 
     def _insert_sql(self, sql, args, strict):
@@ -429,7 +433,7 @@ class Engine:
     def _affected(self, entry: Entry, condition: str, strict: bool, alias: str):
         """Roots, label, shards that hold rows of a condition, and how many rows: one scan of the shards it can match."""
         roots, label = self._roots(entry, Operation.WRITE)
-        df, _ = self.resolve(f"SELECT {alias}._db, {alias}._tbl, count(*) AS n FROM {entry.name} AS {alias} WHERE {condition} GROUP BY 1, 2", op=Operation.WRITE, strict=strict, placed=entry.name)
+        df, _ = self._resolve(f"SELECT {alias}._db, {alias}._tbl, count(*) AS n FROM {entry.name} AS {alias} WHERE {condition} GROUP BY 1, 2", (), Operation.WRITE, strict, placed=entry.name)
         hit = df.collect()  # a row per touched shard
         return roots, label, [(r["_db"], r["_tbl"]) for r in hit], sum(r.n for r in hit)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows gathered from Arrow batches before a vectorised step runs on them.
 CHUNK_ROWS = 131_072
+_TEMPORARY: list[str] = []
 
 
 def normalised(c: Column | str) -> Column:
@@ -35,11 +39,37 @@ def once_per_id(df: DataFrame, ident: str) -> DataFrame:
     return once.select(ident, *rest)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, named by ``spark.checkpoint.dir``. A temporary one of this machine serves only
+    where all tasks run in this process; elsewhere executors could not see it, so it is an error to name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    if not _TEMPORARY:
+        _TEMPORARY.append(tempfile.mkdtemp(prefix="shardloom-"))
+        atexit.register(shutil.rmtree, _TEMPORARY[0], ignore_errors=True)
+    return _TEMPORARY[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder the cluster names; set one of our own only where none is named (tests, local runs)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def _shuffles(plan) -> bool:
+    """Whether a physical plan has an exchange among its nodes."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _shuffles(plan.inputPlan())
+    if "Exchange" in plan.getClass().getSimpleName():
+        return True
+    children = plan.children().iterator()
+    while children.hasNext():
+        if _shuffles(children.next()):
+            return True
+    return False
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -50,11 +80,27 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
-    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= cores:
+    if _shuffles(execution.executedPlan()) or execution.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``df`` with the place of each row in an order, from 0: rows are sorted in ranges, and a range begins at the number
+    of rows in the ranges before it, so no task sees more than its range. Rows that tie are numbered in any order."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    counts = [tuple(r) for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect()]  # a row per partition
+    starts, n = [], 0
+    for p, c in counts:
+        starts.append((p, n))
+        n += c
+    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "_p bigint, _begin bigint"))
+    out = rows.join(begin, part == F.col("_p")).withColumn(name, F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.select(*[c for c in df.columns if c != name], name)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.Table]:
     """Arrow batches joined to tables of about ``rows`` rows, in order."""
     held, n = [], 0

@@ -1,9 +1,11 @@
 """References to records that do not exist, by bitmaps per key range and period.
 
-Keys are 64-bit integers; other keys are encoded by ``dictionary`` first. A key splits into its range (the upper 48
-bits) and its place in the range (the lower 16 bits); the places of a range and period form a bitmap, kept compressed
-as a sorted list of places while it has few and as 65,536 bits when it has many. ``references AND NOT parents`` leaves
-the keys to look at; only rows of those are compared with the exact times of the parents' changes.
+Keys are 64-bit integers and serve as their own codes; other keys are encoded by ``dictionary`` first. A key splits into
+its range (the upper bits) and its place in the range (the lower ones). The places of a range and period form a container:
+a sorted list while they are few, 65,536 bits where there are many. A range is so wide that it holds thousands of keys,
+16 lower bits for dense keys and more for sparse ones (hashes), so the number of containers follows the number of keys.
+``references AND NOT parents`` leaves the keys to look at; only rows of those are compared with the exact times of the
+parents' changes.
 """
 
 from __future__ import annotations
@@ -18,101 +20,170 @@ from pyspark.sql import types as T
 
 from .common import column, ensure_checkpoint_dir, gathered, normalised, once_per_id
 
-#: Places above which a container is kept as bits (65,536 bits take as much as 4,096 places).
+#: Places above which a container of 16-bit places is kept as bits (65,536 bits take as much as 4,096 places).
 DENSE = 4096
 #: What a container holds; references follow from REFERENCE on, one number per table.
 ROW, CHANGED, BASE, UNTIL, FROM, WITHIN, REFERENCE = range(7)
 #: The period of rows without time.
 UNTIMED = -1
-SALTS = 16
+#: Most surviving keys and periods that are sent to every task; more meet the rows in a shuffled join.
+MOST_CASES = 500_000
 
 _CONTAINER = T.StructType([T.StructField("key_range", T.LongType()), T.StructField("what", T.IntegerType()), T.StructField("period", T.IntegerType()), T.StructField("places", T.BinaryType())])
 _SURVIVOR = T.StructType([T.StructField("what", T.IntegerType()), T.StructField("period", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("changed", T.BooleanType())])
 
 
-def _containers(batches):
-    """Compressed bitmaps of (what, period, key) rows, one per kind, period and key range of a chunk of a task."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(_CONTAINER)
-    for t in gathered(batches, 524_288):
-        what, period, key = (column(t, c).to_numpy() for c in ("what", "period", "key"))
-        order = np.lexsort((key, period, what))
-        what, period, key = what[order], period[order], key[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (period[1:] != period[:-1]) | (what[1:] != what[:-1])
-        what, period, key = what[new], period[new], key[new]
-        rng, low = key >> 16, (key & 0xFFFF).astype(np.uint16)
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (rng[1:] != rng[:-1]) | (period[1:] != period[:-1]) | (what[1:] != what[:-1])
-        first = np.flatnonzero(new)
-        bodies = []
-        for a, b in zip(first, np.append(first[1:], len(key))):
-            if b - a <= DENSE:
-                bodies.append(b"a" + low[a:b].tobytes())
-            else:
-                bits = np.zeros(65_536, dtype=bool)
-                bits[low[a:b]] = True
-                bodies.append(b"b" + np.packbits(bits, bitorder="little").tobytes())
-        for i in range(0, len(first), 4096):
-            at = first[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(rng[at]), pa.array(what[at]), pa.array(period[at]), pa.array(bodies[i : i + 4096], pa.binary())], schema=schema)
-
-
-def _bits(body: bytes) -> np.ndarray:
-    """A container as 8,192 bytes of bits."""
-    if body[:1] == b"b":
-        return np.frombuffer(body, np.uint8, offset=1).copy()
-    bits = np.zeros(65_536, dtype=bool)
-    bits[np.frombuffer(body, np.uint16, offset=1)] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def _and_not(batches):
-    """Sorted containers of whole key ranges: the references that no parent covers, decoded to keys."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(_SURVIVOR)
-    none = np.zeros(8192, np.uint8)
-    state: dict = {"range": None}
-
-    def close():
-        if state.get("ref") is None:
-            return None
-        what, period = state["ref"]
-        by = state["by"]
-        if period == UNTIMED:
-            cover = by.get((ROW, 0), none)
-        else:
-            cover = by.get((BASE, 0), none).copy()
-            for (kind, p), bits in by.items():
-                if kind == FROM and p <= period or kind == UNTIL and p >= period or kind == WITHIN and p == period:
-                    cover |= bits
-        left = state["bits"] & ~cover
-        state["ref"] = None
-        if not left.any():
-            return None
-        low = np.flatnonzero(np.unpackbits(left, bitorder="little")).astype(np.int64)
-        changed = np.unpackbits(by.get((CHANGED, 0), none), bitorder="little")[low].astype(bool)
-        n = len(low)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, what, np.int32)), pa.array(np.full(n, period, np.int32)), pa.array((state["range"] << 16) | low), pa.array(changed)], schema=schema)
-
-    for b in batches:
-        for rng, what, period, body in zip(*(b.column(c).to_pylist() for c in ("key_range", "what", "period", "places"))):
-            if rng != state["range"] or state.get("ref") not in (None, (what, period)):
-                if (out := close()) is not None:
-                    yield out
-            if rng != state["range"]:
-                state = {"range": rng, "by": {}, "ref": None}
-            bits = _bits(body)
-            if what < REFERENCE:
-                state["by"][what, period] = state["by"].get((what, period), none) | bits
-            elif state["ref"] is None:
-                state["ref"], state["bits"] = (what, period), bits
-            else:
-                state["bits"] |= bits
-    if state["range"] is not None and (out := close()) is not None:
-        yield out
+class Places:
+    """Containers of ranges of 2^``shift`` keys: arrays of places in order, or packed bits."""
+
+    def __init__(self, shift: int):
+        self.shift = shift
+        self.kind = np.uint16 if shift <= 16 else np.uint32 if shift <= 32 else np.uint64
+
+    @classmethod
+    def of(cls, keys: int, least: int, most: int) -> Places:
+        """For so many keys from ``least`` to ``most``: a range holds DENSE of them on average, 65,536 places at least."""
+        spread = (most - least + 1) * DENSE // max(1, keys) // (1 << 16)
+        return cls(min(48, 16 + max(0, spread.bit_length() - 1)))
+
+    def split(self, key: np.ndarray):
+        return key >> self.shift, (key & np.int64((1 << self.shift) - 1)).astype(self.kind)
+
+    def keys(self, key_range: int, places) -> np.ndarray:
+        return (np.int64(key_range) << self.shift) | self.listed(places).astype(np.int64)
+
+    def packed(self, places) -> bytes:
+        if places.dtype == np.uint8:
+            return b"b" + places.tobytes()
+        return b"b" + self.bits(places).tobytes() if self.shift <= 16 and len(places) > DENSE else b"a" + places.tobytes()
+
+    def unpacked(self, body: bytes):
+        return np.frombuffer(body, np.uint8 if body[:1] == b"b" else self.kind, offset=1)
+
+    @staticmethod
+    def bits(places) -> np.ndarray:
+        if places.dtype == np.uint8:
+            return places
+        flags = np.zeros(65_536, dtype=bool)
+        flags[places] = True
+        return np.packbits(flags, bitorder="little")
+
+    @staticmethod
+    def listed(places) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(places, bitorder="little")) if places.dtype == np.uint8 else places
+
+    def either(self, parts: list):
+        """Union."""
+        if len(parts) == 1:
+            return parts[0]
+        if any(x.dtype == np.uint8 for x in parts):
+            return np.bitwise_or.reduce([self.bits(x) for x in parts])
+        return np.unique(np.concatenate(parts))
+
+    @staticmethod
+    def has(places, among) -> np.ndarray:
+        """Which of the listed ``among`` are in a container."""
+        if places.dtype == np.uint8:
+            return (places[among >> 3] >> (among & 7) & 1).astype(bool)
+        if not len(places):
+            return np.zeros(len(among), bool)
+        return places[np.minimum(np.searchsorted(places, among), len(places) - 1)] == among
+
+    def without(self, places, cover):
+        """``places`` AND NOT ``cover``."""
+        if places.dtype == np.uint8:
+            return places & ~self.bits(cover)
+        return places[~self.has(cover, places)]
+
+
+def _containers(of: Places):
+    """Containers of (what, period, key) rows, one per kind, period and key range of a chunk of a task."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(_CONTAINER)
+        for t in gathered(batches, 524_288):
+            what, period, key = (column(t, c).to_numpy() for c in ("what", "period", "key"))
+            order = np.lexsort((key, period, what))
+            what, period, key = what[order], period[order], key[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (period[1:] != period[:-1]) | (what[1:] != what[:-1])
+            what, period, key = what[new], period[new], key[new]
+            rng, low = of.split(key)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (rng[1:] != rng[:-1]) | (period[1:] != period[:-1]) | (what[1:] != what[:-1])
+            first = np.flatnonzero(new)
+            bodies = [of.packed(low[a:b]) for a, b in zip(first, np.append(first[1:], len(key)))]
+            for i in range(0, len(first), 1024):
+                at = first[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(rng[at]), pa.array(what[at]), pa.array(period[at]), pa.array(bodies[i : i + 1024], pa.binary())], schema=schema)
+
+    return run
+
+
+def _merged(of: Places):
+    """Sorted containers with those of one kind, period and key range joined to one."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, mine, parts = to_arrow_schema(_CONTAINER), None, []
+
+        def one():
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*mine, of.packed(of.either(parts))), schema)], schema=schema)
+
+        for b in batches:
+            for *at, body in zip(*(b.column(c).to_pylist() for c in ("key_range", "what", "period", "places"))):
+                if at != mine:
+                    if parts:
+                        yield one()
+                    mine, parts = at, []
+                parts.append(of.unpacked(body))
+                if len(parts) >= 64:
+                    parts = [of.either(parts)]
+        if parts:
+            yield one()
+
+    return run
+
+
+def _and_not(of: Places):
+    """Merged containers of whole key ranges, parents first: the references that no parent covers, decoded to keys."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, none, here = to_arrow_schema(_SURVIVOR), np.zeros(0, of.kind), None
+        by: dict = {}
+        covers: dict = {}
+
+        def cover(period):
+            """What covers references of a period: parents alive through all of it."""
+            if period not in covers:
+                if period == UNTIMED:
+                    parts = [x for (kind, _), x in by.items() if kind == ROW]
+                else:
+                    parts = [x for (kind, p), x in by.items() if kind == BASE or kind == FROM and p <= period or kind == UNTIL and p >= period or kind == WITHIN and p == period]
+                covers[period] = of.either(parts) if parts else none
+            return covers[period]
+
+        for b in batches:
+            out = []
+            for rng, what, period, body in zip(*(b.column(c).to_pylist() for c in ("key_range", "what", "period", "places"))):
+                if rng != here:
+                    here, by, covers = rng, {}, {}
+                if what < REFERENCE:
+                    by[what, period] = of.unpacked(body)
+                    continue
+                left = of.listed(of.without(of.unpacked(body), cover(period)))
+                if len(left):
+                    changed = of.has(by.get((CHANGED, 0), none), left.astype(of.kind))
+                    out.append((np.full(len(left), what, np.int32), np.full(len(left), period, np.int32), of.keys(rng, left), changed))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+
+    return run
 
 
 def month_of(c) -> F.Column:
@@ -167,8 +238,10 @@ def orphans(refs: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataF
     Cases: rows whose key is null or ``no_key`` refer to nothing and are left out; rows with the same id come out once;
     null ids come out as they are; empty tables give no row, and with empty parents every reference is an orphan.
 
-    Plan: partial bitmaps per task shrink a hot key to one bit before the shuffle by key range. The surviving keys join
-    back to the rows under a salt, so that a hot orphan key spreads over several tasks, and nothing is broadcast.
+    Plan: partial bitmaps per task shrink a hot key to one bit before a shuffle; containers are merged by range, kind and
+    period, so that a range with all keys is not one task's work, and only merged ones meet by range. The surviving keys
+    are written and counted. Up to MOST_CASES of them are sent to every task, and no row is shuffled; more meet the rows
+    in a merge join, in which Spark splits a hot key's rows. Only orphans are shuffled after that, to drop repeats.
     """
     if not all(isinstance(df.schema[key].dataType, T.IntegralType) for _, df, _, key, _ in refs):
         return _orphans_of_other_keys(refs, parents, parent_key, changes, no_key)
@@ -177,9 +250,12 @@ def orphans(refs: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataF
         one = df.select(F.lit(n).alias("n"), F.lit(name).alias("table_name"), F.col(ident).cast("bigint").alias("row_id"), F.col(key).cast("bigint").alias("key"), F.col(at).cast("timestamp_ntz").alias("at"))
         rows = one if rows is None else rows.unionAll(one)
     rows = rows.where(F.col("key").isNotNull() & (F.lit(True) if no_key is None else F.col("key") != no_key)).withColumn("period", month_of(F.col("at")))
-    spans = existence(*changes).withColumn("key", F.col("key").cast("bigint"))
+    ensure_checkpoint_dir(parents.sparkSession)
+    spans = existence(*changes).withColumn("key", F.col("key").cast("bigint")).checkpoint()
     have = parents.select(F.col(parent_key).cast("bigint").alias("key")).where(F.col("key").isNotNull()).distinct()
     changed = spans.select("key").distinct()
+    n, least, most = have.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    of = Places.of(n, least, most) if n else Places(16)
     a, b = month_of(F.col("lo")), month_of(F.col("hi"))
     months = F.when(F.col("lo").isNull(), F.array(F.struct(F.lit(UNTIL).alias("what"), (b - 1).alias("period"))))
     months = months.when(F.col("hi").isNull(), F.array(F.struct(F.lit(FROM).alias("what"), (a + 1).alias("period"))))
@@ -190,16 +266,17 @@ def orphans(refs: Sequence[tuple[str, DataFrame, str, str, str]], parents: DataF
     bits = bits.unionAll(changed.select(F.lit(CHANGED).alias("what"), zero, "key"))
     bits = bits.unionAll(have.join(changed, "key", "left_anti").select(F.lit(BASE).alias("what"), zero, "key"))
     bits = bits.unionAll(alive).unionAll(rows.select((F.col("n") + REFERENCE).alias("what"), "period", "key"))
-    packed = bits.mapInArrow(_containers, _CONTAINER).repartition("key_range").sortWithinPartitions("key_range", "what", "period")
-    left = packed.mapInArrow(_and_not, _SURVIVOR).withColumn("n", F.col("what") - REFERENCE)
+    order = ("key_range", "what", "period")
+    packed = bits.mapInArrow(_containers(of), _CONTAINER).repartition(*order).sortWithinPartitions(*order).mapInArrow(_merged(of), _CONTAINER)
+    left = packed.repartition("key_range").sortWithinPartitions(*order).mapInArrow(_and_not(of), _SURVIVOR).withColumn("n", F.col("what") - REFERENCE)
     gone = spans.where(~F.col("exists")).select(F.col("key").alias("k"), "lo", "hi", a.alias("m1"), F.coalesce(F.nullif(b, F.lit(UNTIMED)), F.lit(1_000_000)).alias("m2"))
     timed = F.col("changed") & (F.col("period") != UNTIMED)
     cases = left.join(gone, (F.col("key") == F.col("k")) & timed & (F.col("period") >= F.col("m1")) & (F.col("period") <= F.col("m2")), "left").where(~timed | F.col("k").isNotNull())
-    cases = cases.select("n", "period", "key", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    cases = cases.select("n", "period", "key", "lo", "hi").checkpoint()
     inside = (F.col("c.lo").isNull() | (F.col("r.at") >= F.col("c.lo"))) & (F.col("c.hi").isNull() | (F.col("r.at") < F.col("c.hi")))
-    same = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in ("n", "period", "key", "salt")]
-    found = salted.alias("r").join(cases.alias("c").hint("merge"), [*same, inside], "inner").select("r.table_name", "r.row_id", "r.key", "r.at", "r.period")
+    same = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in ("n", "period", "key")]
+    few = cases.limit(MOST_CASES + 1).count() <= MOST_CASES
+    found = rows.alias("r").join(F.broadcast(cases.alias("c")) if few else cases.alias("c").hint("merge"), [*same, inside], "inner").select("r.table_name", "r.row_id", "r.key", "r.at", "r.period")
     with_id = found.where(F.col("row_id").isNotNull()).groupBy("table_name", "row_id").agg(*[F.max(c).alias(c) for c in ("key", "at", "period")])
     return with_id.unionByName(found.where(F.col("row_id").isNull()))
 

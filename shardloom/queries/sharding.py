@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,13 @@ from pyspark.sql import types as T
 
 from ..engine import Engine
 from ..functions import strategies as S
-from ..functions.text import operation_expr, table_of_expr
+from ..errors import ShardingError
+from ..functions.text import TABLE_PATTERN, operation_expr, table_of_expr
+from ..operators.common import shared_folder
 from ..plans.predicate import ALL
 from ..plans.rules import Router, ShardCatalog, ShardingRule
 from ..sources.registry import PoolRegistry
-from ..sources.routing import Operation, RandomPolicy, RoundRobinPolicy, find_router, labelled, select_pool
+from ..sources.routing import Operation, RandomPolicy, RoundRobinPolicy, log, select_pool
 
 _ENGINES: dict[tuple, Engine] = {}
 
@@ -25,9 +28,19 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares; a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
+    """A fresh folder below the one the cluster shares, removed when the program ends."""
+    path = f"{shared_folder(spark)}/shardloom-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def remove():
+        try:
+            files.delete(where, True)
+        except Exception:  # the session has ended before the program
+            pass
+
+    atexit.register(remove)
+    return path
 
 
 def _modulo(n: int) -> S.CustomStrategy:
@@ -98,8 +111,9 @@ def enum_default(spark, d):
 
 
 def enum_strict(spark, d):
-    listed = _read(spark, d, "region").where("r_name in ('AFRICA', 'ASIA')")
-    return _placed(listed, "r_name", S.EnumStrategy({"AFRICA": "_af", "ASIA": "_as"}), "r_regionkey", "r_name")
+    """Without a default a value that is not listed would be an error; all are."""
+    listed = {"AFRICA": "_af", "AMERICA": "_am", "ASIA": "_as", "EUROPE": "_eu", "MIDDLE EAST": "_me"}
+    return _placed(_read(spark, d, "region"), "r_name", S.EnumStrategy(listed), "r_regionkey", "r_name")
 
 
 def date_daily(spark, d):
@@ -223,15 +237,40 @@ def insert_select(spark, d):
     engine = build(spark, d, ())
     engine.catalog.entry("orders").schema = _read(spark, d, "orders").schema
     _read(spark, d, "orders").createOrReplaceTempView("incoming_orders")
-    engine.sql("INSERT INTO orders SELECT * FROM incoming_orders WHERE o_custkey < 200")
+    engine.sql("INSERT INTO orders SELECT * FROM incoming_orders")
     return engine.scan("orders").select("o_orderkey", "o_custkey", F.col("_db").cast("bigint").alias("db"), F.col("_tbl").alias("tbl"))
 
 
 def insert_diff_suffix(spark, d):
-    """Whether a batch of keys lies in one table shard, by the validator of strict inserts."""
-    rule = _modulo(10)
-    rows = spark.createDataFrame([("same", 1), ("same", 11), ("mixed", 1), ("mixed", 2)], "batch string, k bigint")
-    return rows.withColumn("s", rule.expr(F.col("k"), T.LongType())).groupBy("batch").agg((F.countDistinct("s") > 1).alias("different"))
+    """Whether a strict INSERT refuses a batch of keys."""
+    engine, out = build(spark, d, ()), []
+    engine.catalog.entry("orders").schema = _read(spark, d, "orders").schema
+    for batch, keys in (("same", (1, 11)), ("mixed", (1, 2))):
+        try:
+            engine.sql("INSERT INTO orders (o_orderkey, o_custkey) VALUES " + ", ".join(f"({k}, {k})" for k in keys), strict=True)
+            out.append((batch, False))
+        except ShardingError:
+            out.append((batch, True))
+    return spark.createDataFrame(out, "batch string, different boolean")
+
+
+_WRONG = (
+    ("SELECT * FROM orders WHERE o_totalprice > 5", True, "MissingShardingKey"), ("SELECT * FROM orders WHERE o_custkey = 1 OR o_custkey = 2", True, "MissingShardingKey"),
+    ("INSERT INTO orders (o_orderkey) VALUES (1)", False, "MissingShardingKey"), ("INSERT INTO orders (o_orderkey, o_custkey) VALUES (1, 1), (2, 2)", True, "DifferentSuffix"),
+    ("INSERT INTO orders (o_orderkey, o_custkey) VALUES (1)", False, "ShardingError"), ("DROP TABLE orders", False, "NotImplementedError"), ("SELECT * FROM orders WHERE o_custkey = 5", True, ""),
+)
+
+
+def error_contract(spark, d):
+    """The errors of statements that a rule refuses; the last one is none."""
+    engine, out = build(spark, d), []
+    for sql, strict, _ in _WRONG:
+        try:
+            engine.sql(sql, strict=strict)
+            out.append((sql, ""))
+        except Exception as e:
+            out.append((sql, type(e).__name__))
+    return spark.createDataFrame(out, "stmt string, error string")
 
 
 def update_rows(spark, d):
@@ -253,6 +292,21 @@ def delete_rows(spark, d):
     return engine.table("orders").select(*_ORDER.split(", "))
 
 
+def delete_subquery(spark, d):
+    """Keys from another table and a bound from the table itself, right after a pruned query on it."""
+    engine = build(spark, d, ("orders", "customer"))
+    engine.sql("SELECT * FROM orders WHERE o_custkey = 5")
+    engine.sql("DELETE FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000) AND o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
+    return engine.table("orders").select(*_ORDER.split(", "))
+
+
+def update_subquery(spark, d):
+    engine = build(spark, d, ("orders", "customer"))
+    engine.sql("SELECT * FROM orders WHERE o_custkey = 5")
+    engine.sql("UPDATE orders o SET o_totalprice = (SELECT max(c_acctbal) FROM customer), o_orderstatus = 'Z' WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey = 3)")
+    return engine.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
 # statements
 
 
@@ -285,9 +339,17 @@ def missing_key(spark, d):
 
 
 def resolver_precedence(spark, d):
-    routers = [Router("main"), Router("audit", tables=["log"]), Router("special")]
-    cases = (("special", "log"), ("", "log"), ("", "orders"), ("audit", "orders"))
-    return spark.createDataFrame([(u, t, find_router(routers, u or None, t).name) for u, t in cases], "use_name string, tbl string, router string")
+    """Where the rows of a table are read from: by the router named, the table's router or the one that serves all."""
+    root = _folder(spark)
+    routers = [Router("main", [f"{root}/main"], database=0), Router("audit", [f"{root}/audit"], tables=["log"], database=0), Router("special", [f"{root}/special"], tables=["rare"], database=0)]
+    engine = Engine(ShardCatalog(spark, f"{root}/default").add_rule(ShardingRule("r_regionkey", table_strategy=_modulo(2), routers=routers), "log", "orders"))
+    cases, out = (("special", "log"), ("", "log"), ("", "orders"), ("audit", "orders")), None
+    for use, table in cases:
+        engine.write(_read(spark, d, "region"), table, use=use or None)
+    for use, table in cases:
+        rows = engine.table(table, use=use or None).select(F.lit(use).alias("use_name"), F.lit(table).alias("tbl"), F.regexp_extract(F.input_file_name(), "/(main|audit|special|default)/", 1).alias("router")).distinct()
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 def default_fallback(spark, d):
@@ -296,7 +358,7 @@ def default_fallback(spark, d):
 
 
 def round_robin(spark, d):
-    return _read(spark, d, "nation").select("n_nationkey", RoundRobinPolicy.expr(3, "n_nationkey").cast("bigint").alias("pick"))
+    return RoundRobinPolicy.assign(_read(spark, d, "nation").select("n_nationkey"), 3, "n_nationkey", name="pick")
 
 
 def strict_round_robin(spark, d):
@@ -310,9 +372,7 @@ def random_policy(spark, d):
     return _read(spark, d, "nation").select("n_nationkey", RandomPolicy(3).expr(3).alias("pick"))
 
 
-def rw_split(spark, d):
-    """Reads see the replicas' snapshot, writes and FOR UPDATE the source."""
-    engine = build(spark, d, ("orders",), replicas=True)
+def _split(engine):
     engine.sync_replicas("orders")
     engine.sql("DELETE FROM orders WHERE o_custkey = 5")
     sql = "SELECT o_orderkey FROM orders WHERE o_custkey = 5"
@@ -320,6 +380,20 @@ def rw_split(spark, d):
     return read.select(F.lit("replica").alias("pool"), "o_orderkey").unionAll(write.select(F.lit("source"), "o_orderkey"))
 
 
+def rw_split(spark, d):
+    """Reads see the replicas' snapshot, writes and FOR UPDATE the source."""
+    return _split(build(spark, d, ("orders",), replicas=True))
+
+
+def table_only_split(spark, d):
+    """The same with a rule that has no database function: its rows are the first router's."""
+    root = _folder(spark)
+    rule = ShardingRule("o_custkey", table_strategy=_modulo(10), routers=[Router("only", [f"{root}/source"], [f"{root}/replica"])])
+    engine = Engine(ShardCatalog(spark, f"{root}/default").add_rule(rule, "orders"))
+    engine.write(_read(spark, d, "orders"), "orders")
+    return _split(engine)
+
+
 _DSNS = ("/data/a", "/data/a/", "/data//a", "/data/b", "/data/b", "/data/c")
 
 
@@ -339,16 +413,33 @@ def pool_count(spark, d):
     return spark.createDataFrame([(_pools().count(),)], "pools bigint")
 
 
+_TRACED = ("SELECT count(*) FROM orders WHERE o_custkey = 5", "SELECT * FROM orders WHERE o_custkey = 5 FOR UPDATE", "DELETE FROM orders WHERE o_custkey = -1", "UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey = -1")
+
+
 def trace_label(spark, d):
-    return spark.createDataFrame([(labelled("replica" if i % 2 else "source", s),) for i, s in enumerate(_STATEMENTS)], "line string")
+    """The lines an engine logs for statements on a traced table."""
+    engine, lines = build(spark, d, ("orders",), replicas=True), []
+    engine.sync_replicas("orders")
+    engine.catalog.entry("orders").rule.routers[0].trace = True
+    keep, level = logging.Handler(), log.level
+    keep.emit = lambda r: lines.append((r.getMessage(),))
+    log.addHandler(keep)
+    log.setLevel(logging.INFO)
+    try:
+        for sql in _TRACED:
+            engine.sql(sql)
+    finally:
+        log.removeHandler(keep)
+        log.setLevel(level)
+    return spark.createDataFrame(lines, "line string").where("line LIKE '[%'")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         hash_numeric, hash_string, hash_negative_float, default_padded, default_negative, default_string, enum_default, enum_strict, date_daily, date_monthly, date_unix, date_rfc3339, range_basic, range_custom, no_sharding, custom_last_two, custom_python, suffix_to_index,
-        route_two_level, order_limit, ignore_flag, range_scan, date_scan, shard_agg_all, shard_window, co_shard_join, pruned_join, insert_route, insert_select, insert_diff_suffix, update_rows, update_key, delete_rows, classify_op, extract_table, missing_key,
-        resolver_precedence, default_fallback, round_robin, strict_round_robin, random_policy, rw_split, pool_stats, pool_count, trace_label,
+        route_two_level, order_limit, ignore_flag, range_scan, date_scan, shard_agg_all, shard_window, co_shard_join, pruned_join, insert_route, insert_select, insert_diff_suffix, error_contract, update_rows, update_key, delete_rows, delete_subquery, update_subquery, classify_op, extract_table, missing_key,
+        resolver_precedence, default_fallback, round_robin, strict_round_robin, random_policy, rw_split, table_only_split, pool_stats, pool_count, trace_label,
     )
 }
 #: Plain queries on sharded orders: the same WHERE in both dialects.
@@ -379,7 +470,8 @@ def _union(name: str, rows) -> str:
     return "(VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in rows) + f") t({name})"
 
 
-_TABLE = r"(?:FROM|UPDATE|MERGE INTO|INSERT [a-z ]*INTO) [''`\"]?([a-zA-Z0-9_]+)(?:[ ''`\",)]|$)"
+#: The fixed pattern in DuckDB's spelling: quotes doubled, ``$`` for the end, case ignored by an option.
+_TABLE = TABLE_PATTERN.removeprefix("(?i)").replace(r"\z", "$").replace("'", "''")
 _SHARDED = "CAST(o_custkey % 4 AS BIGINT) AS db, '_' || (o_custkey % 10) AS tbl"
 SQL = {
     "hash_numeric": "SELECT o_orderkey, o_custkey, '_' || abs(o_custkey % 4) AS suffix FROM orders",
@@ -389,7 +481,7 @@ SQL = {
     "default_negative": "SELECT s_suppkey, CAST(trunc(s_acctbal) AS BIGINT) AS k, printf('_%01d', CAST(trunc(s_acctbal) AS BIGINT) % 4) AS suffix FROM supplier",
     "default_string": f"SELECT k, printf('_%02d', CASE WHEN regexp_full_match(k, '[+-]?[0-9]+') THEN TRY_CAST(k AS BIGINT) ELSE {_crc('k')} END % 16) AS suffix FROM (SELECT CAST(o_custkey AS VARCHAR) AS k FROM orders UNION ALL SELECT c_name FROM customer)",
     "enum_default": "SELECT r_regionkey, r_name, CASE r_name WHEN 'AFRICA' THEN '_af' WHEN 'ASIA' THEN '_as' WHEN 'EUROPE' THEN '_eu' ELSE '_other' END AS suffix FROM region",
-    "enum_strict": "SELECT r_regionkey, r_name, CASE r_name WHEN 'AFRICA' THEN '_af' ELSE '_as' END AS suffix FROM region WHERE r_name IN ('AFRICA', 'ASIA')",
+    "enum_strict": "SELECT r_regionkey, r_name, CASE r_name WHEN 'AFRICA' THEN '_af' WHEN 'AMERICA' THEN '_am' WHEN 'ASIA' THEN '_as' WHEN 'EUROPE' THEN '_eu' WHEN 'MIDDLE EAST' THEN '_me' END AS suffix FROM region",
     "date_daily": "SELECT event_id, strftime(ts, '_%Y%m%d') AS suffix FROM events",
     "date_monthly": "SELECT o_orderkey, strftime(o_orderdate, '_%Y%m') AS suffix FROM orders",
     "date_unix": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS n, strftime(ts, '_%Y%m%d') AS suffix FROM events",
@@ -410,11 +502,14 @@ SQL = {
     "co_shard_join": "SELECT c_custkey, c_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name",
     "pruned_join": "SELECT c_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey = 7",
     "insert_route": f"SELECT CAST(900000 + i AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, {_SHARDED} FROM (VALUES (0, 1), (1, 11), (2, 2), (3, 1001), (4, 2002), (5, 3003), (6, 4004), (7, 5005), (8, 10001)) t(i, o_custkey)",
-    "insert_select": f"SELECT o_orderkey, o_custkey, {_SHARDED} FROM orders WHERE o_custkey < 200",
+    "insert_select": f"SELECT o_orderkey, o_custkey, {_SHARDED} FROM orders",
     "insert_diff_suffix": "SELECT batch, count(DISTINCT k % 10) > 1 AS different FROM (VALUES ('same', 1), ('same', 11), ('mixed', 1), ('mixed', 2)) t(batch, k) GROUP BY batch",
     "update_rows": "SELECT o_orderkey, o_custkey, CASE WHEN h THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(CASE WHEN h THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS o_totalprice FROM (SELECT *, o_custkey IN (5, 6) AND o_totalprice > 1000 AS h FROM orders)",
     "update_key": f"SELECT o_orderkey, o_custkey, {_SHARDED} FROM (SELECT o_orderkey, CASE WHEN o_custkey = 5 THEN 6 ELSE o_custkey END AS o_custkey FROM orders)",
     "delete_rows": f"SELECT {_ORDER} FROM orders WHERE NOT (o_custkey = 5 OR o_custkey BETWEEN 100 AND 120 AND o_totalprice < 50000)",
+    "error_contract": "SELECT * FROM (VALUES " + ", ".join(f"('{sql}', '{error}')" for sql, _, error in _WRONG) + ") t(stmt, error)",
+    "delete_subquery": f"SELECT {_ORDER} FROM orders WHERE NOT (o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000) AND o_totalprice > (SELECT avg(o_totalprice) FROM orders))",
+    "update_subquery": "SELECT o_orderkey, o_custkey, CASE WHEN h THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN h THEN (SELECT max(c_acctbal) FROM customer) ELSE o_totalprice END AS o_totalprice FROM (SELECT *, o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AS h FROM orders)",
     "classify_op": f"SELECT stmt, CASE WHEN octet_length(encode(trim(stmt))) > 10 AND lower(trim(stmt)[1:6]) = 'select' AND lower(right(trim(stmt), 10)) <> 'for update' THEN 'read' ELSE 'write' END AS op FROM {_union('stmt', _STATEMENTS)}",
     "extract_table": f"SELECT stmt, regexp_extract(stmt, '{_TABLE}', 1, 'i') AS tbl FROM {_union('stmt', _STATEMENTS)}",
     "missing_key": "SELECT * FROM (VALUES ('o_custkey = 5', 1::BIGINT), ('o_custkey IN (5, 6)', 2), ('o_custkey = 1 OR o_custkey = 2', 2), ('o_totalprice > 5', -1), ('NOT o_custkey = 5', -1), ('o_custkey = 1 AND o_custkey = 2', 0)) t(cond, shards)",
@@ -423,9 +518,10 @@ SQL = {
     "round_robin": "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) % 3 AS pick FROM nation",
     "strict_round_robin": "SELECT i AS turn, i % 4 AS pick FROM range(1, 11) t(i)",
     "rw_split": "SELECT 'replica' AS pool, o_orderkey FROM orders WHERE o_custkey = 5",
+    "table_only_split": "SELECT 'replica' AS pool, o_orderkey FROM orders WHERE o_custkey = 5",
     "pool_stats": "SELECT root, count(*) AS refs FROM (VALUES ('/data/a'), ('/data/a'), ('/data/a'), ('/data/b'), ('/data/b')) t(root) GROUP BY root",
     "pool_count": "SELECT count(DISTINCT root) AS pools FROM (VALUES ('/data/a'), ('/data/b')) t(root)",
-    "trace_label": "SELECT line FROM (VALUES " + ", ".join("('" + labelled("replica" if i % 2 else "source", s) + "')" for i, s in enumerate(_STATEMENTS)) + ") t(line)",
+    "trace_label": "SELECT CASE WHEN stmt LIKE 'SELECT%' AND stmt NOT LIKE '%FOR UPDATE' THEN '[replica] ' ELSE '[source] ' END || stmt AS line FROM " + _union("stmt", _TRACED),
     "point_bind": f"SELECT {_ORDER} FROM orders WHERE o_custkey = 5 AND o_totalprice > 1000.0",
     "no_hint_full_scan": f"SELECT {_ORDER} FROM orders WHERE o_custkey = 5",
 } | {k: f"SELECT {_ORDER} FROM orders {w}" for k, w in _WHERE.items()}

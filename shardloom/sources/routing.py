@@ -10,10 +10,11 @@ import threading
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ShardingError
+from ..operators.common import numbered
 
 log = logging.getLogger("shardloom")
 
@@ -51,9 +52,9 @@ class RoundRobinPolicy:
         return next(self._turn) % n
 
     @staticmethod
-    def expr(n: int, *order: str) -> Column:
-        """Batch form: the picks of rows taken in ``order``. All rows pass one task, so it is for lists of statements."""
-        return (F.row_number().over(Window.orderBy(*order)) % n).cast("int")
+    def assign(df: DataFrame, n: int, *order: str, name: str = "pick") -> DataFrame:
+        """Batch form: ``df`` with the picks of its rows taken in ``order``, without one task seeing them all."""
+        return numbered(df, *order, name=name).withColumn(name, (F.col(name) + 1) % n)
 
 
 class StrictRoundRobinPolicy(RoundRobinPolicy):

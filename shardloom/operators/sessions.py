@@ -29,8 +29,8 @@ def sessions(df: DataFrame, entity: str, at: str, gap_seconds: int, ident: str |
     A row belongs to the session of the entity's row before it if at most ``gap_seconds`` lie between them.
 
     Cases: rows without entity or time are left out; rows that repeat entity, time and ``ident`` are deliveries of one
-    record and count once (rows with a null ident all count); rows of one time form one session; an empty table gives
-    no row. Deliveries of one id that disagree in entity or time are different rows here: run ``once_per_id`` first if
+    record and count once, with the largest non-null kind delivered (rows with a null ident all count); rows of one time
+    form one session; an empty table gives no row. Deliveries of one id that disagree in entity or time are different rows here: run ``once_per_id`` first if
     that can happen.
 
     Plan: rows are shuffled by entity and time chunk, so an entity that holds a third of all rows spreads over as many
@@ -45,7 +45,8 @@ def sessions(df: DataFrame, entity: str, at: str, gap_seconds: int, ident: str |
     micros = F.unix_micros(F.col("at").cast("timestamp"))  # both casts use the session's zone, so the chunk only needs to be a function of the time
     chunk = F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("bigint")
     rows = rows.withColumn("chunk", chunk)
-    order = ["entity", "chunk", "at"] + (["ident"] if ident else [])
+    # of the deliveries of a record the first is kept: the one with the largest kind, whatever the order of arrival
+    order = [F.col(c) for c in ("entity", "chunk", "at", *(["ident"] if ident else []))] + ([F.col("kind").desc_nulls_last()] if ident and kind else [])
     rows = rows.repartition("entity", "chunk").sortWithinPartitions(*order)
     entity_type, gap = df.schema[entity].dataType, gap_seconds * 1_000_000
     part = T.StructType([T.StructField("entity", entity_type), T.StructField("start_at", T.TimestampNTZType()), T.StructField("end_at", T.TimestampNTZType()), T.StructField("events", T.LongType())])

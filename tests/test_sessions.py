@@ -51,3 +51,11 @@ def test_gap_is_inclusive_and_ties_join(spark, at):
 
 def test_empty(spark):
     assert sessions(spark.createDataFrame([], SCHEMA), "user", "at", 60, "id", "kind").collect() == []
+
+
+def test_kinds_do_not_depend_on_the_order_of_arrival(spark, at):
+    """Of two deliveries of one record, one without kind, the other's kind counts."""
+    rows = [(1, 5, at(0), "view"), (1, 5, at(0), None), (2, 5, at(3), None), (2, 5, at(3), "buy"), (2, 5, at(3), "view")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id bigint, u bigint, t timestamp_ntz, k string").coalesce(1)
+        assert [(r.events, r.kinds) for r in sessions(df, "u", "t", 1800, "id", "k").collect()] == [(2, 1)]

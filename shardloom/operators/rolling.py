@@ -80,6 +80,10 @@ def _expand(t: pa.Table, new_entity, spans, until, active, exact, schema):
         lows, highs = spread("least", most, num), spread("most", least, num)
         keep = on <= until
         cols = {"entity": column(t, "entity").take(pa.array(first[seg][dense[keep]])), "day": pa.array(on[keep].astype(np.int32)).cast(pa.date32()), "rows_on_day": pa.array(rows[keep])}
+        if exact and max(abs(int(sums.max())), abs(int(sums.min()))) * max(spans) >= 1 << 63:  # may not fit 64 bits
+            for s in spans:
+                if float(np.abs(two_stack(sums.astype(np.float64), s, np.add, 0.0)).max()) >= 2.0**63 * (1 - 1e-12):
+                    raise OverflowError(f"a total over {s} days does not fit 64 bits")
         for s in spans:
             n = two_stack(values, s, np.add, 0)[keep]
             none = n == 0
@@ -103,7 +107,7 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, spans: Seque
     Cases: rows without entity or time are left out; a null value counts as a row and adds nothing to a total; rows with
     the same ``ident`` count once (rows without one all count); days after ``until`` are neither read nor emitted; an
     empty table gives no row. Decimal and integer values are added exactly as 64-bit integers of the last decimal place
-    (beyond that Spark raises an overflow), others as doubles.
+    (a day's or a span's total beyond that is an overflow error), others as doubles.
 
     Plan: one shuffle by ``ident`` to drop repeated rows, partial sums per entity and day before the next shuffle (a hot
     entity shrinks to at most one row a day and task), then sorted partitions by entity streamed through the queue.

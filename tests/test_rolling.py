@@ -81,3 +81,12 @@ def test_empty_and_wrong_parameters(spark):
     for kw in ({}, {"emit": "x", "until": UNTIL}, {"spans": (0,), "until": UNTIL}):
         with pytest.raises(ValueError):
             rolling_totals(empty, "user", "at", "amount", **kw)
+
+
+def test_overflow_is_an_error(spark):
+    big = (1 << 62) + 5
+    df = spark.createDataFrame([(1, dt.datetime(2026, 1, d), v) for d, v in ((1, big), (3, big), (20, -big), (22, big))], "u bigint, t timestamp_ntz, v bigint")
+    run = lambda x, *spans: rolling_totals(x, "u", "t", "v", spans, until=dt.date(2026, 2, 1), emit="active").collect()
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        run(df, 2, 7)
+    assert max(r.total_7 for r in run(df.where("v < 0 or day(t) > 10"), 7)) == big and max(r.total_2 for r in run(df, 2)) == big

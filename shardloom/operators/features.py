@@ -7,14 +7,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, gathered, once_per_id, starts_of_runs
+from .common import column, gathered, starts_of_runs
 
 #: Rows a task gathers before it adds them up ahead of the shuffle.
 COMBINE_ROWS = 524_288
+#: An entity with more rows, and with more than one in MOST_HOT of all rows, is hot: its partial counters are merged by
+#: groups of types, one per HOT_ROWS rows, before they meet in one wide row.
+HOT_ROWS, MOST_HOT = 10_000_000, 10_000
 #: Most event types that get columns of their own; beyond it only the map layout is offered.
 MOST_KINDS = 5_000
 
@@ -23,6 +27,41 @@ def _partial_type(entity_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("entity", entity_type), T.StructField("kind", T.StringType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("first_at", T.TimestampNTZType()), T.StructField("last_at", T.TimestampNTZType())])
 
 
+def _once(batches):
+    """Tables of rows sorted by ``ident`` without repeats: of each column the largest non-null value of an ident's rows.
+    Rows without ident all stay."""
+    held = None
+    for t in gathered(batches, COMBINE_ROWS):
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        ids = column(t, "ident")
+        new = starts_of_runs(ids.fill_null(0) if pa.types.is_integer(ids.type) else ids.cast(pa.string()).fill_null("")) | ids.is_null().to_numpy(zero_copy_only=False)
+        new[1:] |= ids.is_null().to_numpy(zero_copy_only=False)[:-1]
+        cut = int(np.flatnonzero(new)[-1])  # the last ident may go on
+        held = t.slice(cut)
+        if cut:
+            yield _largest(t.slice(0, cut), new[:cut])
+    if held is not None:
+        held = held.combine_chunks()
+        yield _largest(held, np.arange(held.num_rows) == 0)
+
+
+def _largest(t: pa.Table, new: np.ndarray) -> pa.Table:
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, t.num_rows))
+    single = t.take(pa.array(first[size == 1]))
+    if len(single) == t.num_rows:
+        return single
+    many = t.take(pa.array(np.flatnonzero(np.repeat(size > 1, size)))).combine_chunks()
+    run = pa.array(np.repeat(np.arange((size > 1).sum()), size[size > 1]))
+    starts = pa.array(np.append(0, np.cumsum(size[size > 1])[:-1]))
+    cols = {}
+    for name in t.column_names:
+        by = pa.table({"run": run, "x": column(many, name)})
+        order = pc.sort_indices(by, sort_keys=[("run", "ascending"), ("x", "descending")], null_placement="at_end")
+        cols[name] = column(many, name).take(order).take(starts)
+    return pa.concat_tables([single, pa.table(cols, schema=single.schema)])
+
+
 def _runs(t: pa.Table) -> pa.Table:
     """Adjacent rows of one entity and type added up."""
     first = np.flatnonzero(starts_of_runs(column(t, "entity"), column(t, "kind")))
@@ -50,15 +89,15 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
     time; null values add nothing; rows with the same ``ident`` count once (rows without one all count); an empty table
     gives no row.
 
-    Plan: a shuffle by ``ident`` drops repeated rows; the same stage adds up per entity and type before the one shuffle
-    by entity, so a hot entity arrives as one row per type and task; partitions sorted by entity and type are streamed
-    as runs straight into wide rows, without another shuffle.
+    Plan: after a shuffle by ``ident`` the stage that drops repeated rows also adds up per entity and type before the one
+    shuffle by entity, so a hot entity arrives as one row per type and task; partitions sorted by entity and type are
+    streamed as runs straight into wide rows, without another shuffle. Entities with very many rows (HOT_ROWS; fewer than
+    MOST_HOT of them, by their share) have their partial counters merged once more before, by groups of types.
     """
     entity_type = df.schema[entity].dataType
     rows = df.select(*([F.col(ident).alias("ident")] if ident else []), F.col(entity).alias("entity"), F.col(kind).alias("kind"), F.col(at).cast("timestamp_ntz").alias("at"), *([F.col(value).cast("double").alias("value")] if value else []))
-    rows = rows.where(F.col("entity").isNotNull() & (F.col("kind") != ""))
-    if ident:
-        rows = once_per_id(rows, "ident").drop("ident")
+    if ident:  # repeats of an id may differ in what is left out below, so they are dropped first
+        rows = rows.withColumn("_row", F.when(F.col("ident").isNull(), F.monotonically_increasing_id())).repartition("ident", "_row").drop("_row").sortWithinPartitions("ident")
     part, listed = _partial_type(entity_type), list(dict.fromkeys(kinds)) if kinds is not None else None
     now_us = None if as_of is None else round((as_of - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
     if listed is not None and len(listed) > MOST_KINDS:
@@ -68,7 +107,10 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(part)
-        for t in gathered(batches, COMBINE_ROWS):
+        for t in _once(batches) if ident else gathered(batches, COMBINE_ROWS):
+            t = t.filter(pc.and_(column(t, "entity").is_valid(), pc.fill_null(pc.not_equal(column(t, "kind"), ""), False))).combine_chunks()
+            if not t.num_rows:
+                continue
             t = t.append_column("v", column(t, "value").fill_null(0.0) if value else pa.array(np.zeros(t.num_rows)))
             g = t.group_by(["entity", "kind"], use_threads=False).aggregate([("v", "count"), ("v", "sum"), ("at", "min"), ("at", "max")])
             g = pa.table([column(g, c) for c in ("entity", "kind", "v_count", "v_sum", "at_min", "at_max")], schema=schema)
@@ -99,8 +141,6 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
             cells = pa.StructArray.from_arrays([column(t, "n"), column(t, "total"), column(t, "last_at")], fields=list(kind_of_map.item_type))
             cols.append(pa.MapArray.from_arrays(pa.array(np.append(first, t.num_rows).astype(np.int32)), column(t, "kind"), cells, type=kind_of_map))
         else:
-            import pyarrow.compute as pc
-
             where = pc.index_in(column(t, "kind"), value_set=pa.array(listed, pa.string()))
             of = np.cumsum(starts_of_runs(column(t, "entity"))) - 1
             ok = where.is_valid().to_numpy(zero_copy_only=False)
@@ -127,7 +167,27 @@ def feature_table(df: DataFrame, entity: str, kind: str, at: str, ident: str | N
         if held is not None:
             yield emit(held.combine_chunks(), schema)
 
-    wide = rows.mapInArrow(combine, part).repartition("entity").sortWithinPartitions("entity", "kind").mapInArrow(stream, out)
+    def merge(batches):
+        held = None
+        for t in gathered(b.select(part.names) for b in batches):
+            t = _runs(pa.concat_tables([held, t]).combine_chunks() if held is not None else t)
+            held = t.slice(t.num_rows - 1)
+            yield from t.slice(0, t.num_rows - 1).to_batches()
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    per = df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("e")).agg(F.count(F.lit(1)).alias("rows"))
+    size = per.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
+    least = max(HOT_ROWS, size.n // MOST_HOT)
+    if size.most > least:  # fewer than MOST_HOT entities have so many rows
+        hot = F.broadcast(per.where(F.col("rows") > least).select("e", F.ceil(F.col("rows") / HOT_ROWS).alias("salts")))
+        shared = rows.join(hot.select("e"), F.col("entity") == F.col("e"), "left_semi").mapInArrow(combine, part)
+        salted = shared.join(hot, F.col("entity") == F.col("e")).withColumn("salt", F.pmod(F.xxhash64("kind"), F.col("salts"))).drop("e", "salts")
+        merged = salted.repartition("entity", "salt").sortWithinPartitions("entity", "salt", "kind").mapInArrow(merge, part)
+        partial = rows.join(hot.select("e"), F.col("entity") == F.col("e"), "left_anti").mapInArrow(combine, part).unionAll(merged)
+    else:
+        partial = rows.mapInArrow(combine, part)
+    wide = partial.repartition("entity").sortWithinPartitions("entity", "kind").mapInArrow(stream, out)
     if listed is not None:
         return wide
     now = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")

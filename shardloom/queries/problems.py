@@ -51,6 +51,15 @@ def p2_cells(spark, d):
     return t.select("user_id", "events", "types", "action", F.col("x.n").alias("n"), F.date_format("x.last_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), F.coalesce(F.col("x.recency_s").cast("bigint"), F.lit(-1)).alias("recency_s"))
 
 
+def p2_wide_cells(spark, d):
+    """The columns of p2_features turned back to rows, for comparison with SQL."""
+    t = p2_features(spark, d)
+    kinds = [c[2:] for c in t.columns if c.startswith("n_")]
+    cells = F.array(*[F.struct(F.lit(k).alias("action"), F.col(f"`n_{k}`").alias("n"), F.col(f"`last_{k}`").alias("l"), F.col(f"`recency_{k}`").alias("r")) for k in kinds])
+    t = t.select("user_id", "events", "types", F.inline(F.filter(cells, lambda x: x["n"] > 0)))
+    return t.select("user_id", "events", "types", "action", "n", F.date_format("l", "yyyy-MM-dd HH:mm:ss").alias("last_at"), F.coalesce(F.col("r").cast("bigint"), F.lit(-1)).alias("recency_s"))
+
+
 def p2_found(spark, d):
     log = _log(spark, d).where("user_id != 0 and created_at is not null")
     t = feature_table(log, "user_id", "action", "created_at", "id").select(F.col("entity").alias("user_id"), F.explode("features").alias("action", "x"))
@@ -109,7 +118,7 @@ def p5_found(spark, d):
     return regions.select(F.lit("region_order").alias("table_name"), F.col("key").alias("key_value")).unionAll(buyers.select(F.lit("shop_orders"), F.col("key").cast("string")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_features, p2_cells, p3_found, p3_report, p4_found, p4_sessions, p5_found, p5_regions, p5_users)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_features, p2_cells, p2_wide_cells, p3_found, p3_report, p4_found, p4_sessions, p5_found, p5_regions, p5_users)}
 
 _ORDERS = "orders_once AS (SELECT id, max(user_id) AS user_id, max(amount) AS amount, max(created_at) AS created_at FROM shop_orders GROUP BY id)"
 _DAILY = _ORDERS + """, daily AS (SELECT user_id, CAST(created_at AS DATE) AS d, count(*) AS n, count(amount) AS v, sum(coalesce(amount, 0)) AS s, min(amount) AS lo, max(amount) AS hi
@@ -152,3 +161,4 @@ SQL = {
 SELECT 'region_order' AS table_name, k AS key_value FROM r GROUP BY k HAVING k <> '' AND count(*) > 0.05 * (SELECT count(*) FROM r)
 UNION ALL SELECT 'shop_orders', CAST(k AS VARCHAR) FROM s GROUP BY k HAVING k <> 0 AND count(*) > 0.05 * (SELECT count(*) FROM s)""",
 }
+SQL["p2_wide_cells"] = SQL["p2_cells"]

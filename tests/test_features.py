@@ -41,6 +41,28 @@ def test_map_layout(spark, monkeypatch, combine):
         assert all(c.recency_s == (None if c.last_at is None else (NOW - c.last_at).total_seconds()) for c in r.features.values())
 
 
+def test_hot_entities_are_merged_by_groups_of_types(spark, monkeypatch):
+    """The split of a hot entity changes no result, in either layout."""
+    monkeypatch.setattr(features, "COMBINE_ROWS", 40)
+    rows = rows_of(11)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    kinds = kinds_of(df, "kind")
+    run = lambda k: sorted(map(str, feature_table(df, "user", "kind", "at", "id", "v", NOW, k).collect()))
+    flat = lambda: {r.entity: {k: (c.n, c.total, c.last_at) for k, c in r.features.items()} for r in feature_table(df, "user", "kind", "at", "id", "v", NOW).collect()}
+    want = run(kinds)
+    monkeypatch.setattr(features, "HOT_ROWS", 60)
+    assert run(kinds) == want and flat() == brute(rows)
+
+
+def test_deliveries_that_differ(spark):
+    """Each column takes the largest non-null value of an id's rows, whatever their order; text ids work too."""
+    rows = [("a", 1, "k", None, 3.0, 0, ""), ("a", 1, None, dt.datetime(2026, 1, 2), None, 0, ""), ("a", 1, "", dt.datetime(2026, 1, 1), 1.0, 0, ""), (None, 1, "k", None, 1.0, 0, ""), (None, 1, "k", None, 1.0, 0, "")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA.replace("id bigint", "id string")).coalesce(1)
+        got = feature_table(df, "user", "kind", "at", "id", "v").collect()
+        assert [(r.entity, {k: (c.n, c.total, c.last_at) for k, c in r.features.items()}) for r in got] == [(1, {"k": (3, 5.0, dt.datetime(2026, 1, 2))})]
+
+
 def test_wide_layout(spark):
     rows = rows_of(3)
     df = spark.createDataFrame(rows, SCHEMA)

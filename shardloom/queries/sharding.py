@@ -17,7 +17,6 @@ from ..functions.text import TABLE_PATTERN, operation_expr, table_of_expr
 from ..operators.common import shared_folder
 from ..plans.predicate import ALL
 from ..plans.rules import Router, ShardCatalog, ShardingRule
-from ..sources.registry import PoolRegistry
 from ..sources.routing import Operation, RandomPolicy, RoundRobinPolicy, log, select_pool
 
 _ENGINES: dict[tuple, Engine] = {}
@@ -44,7 +43,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _modulo(n: int) -> S.CustomStrategy:
-    return S.CustomStrategy(lambda v: f"_{int(v) % n}", lambda c: F.concat(F.lit("_"), (c % n).cast("string")))
+    # remainders have the sign of the key, in both forms
+    return S.CustomStrategy(lambda v: f"_{abs(int(v)) % n * (1 if v >= 0 else -1)}", lambda c: F.concat(F.lit("_"), (c % n).cast("string")))
 
 
 def build(spark: SparkSession, d: str, tables: tuple[str, ...] = ("orders",), replicas: bool = False) -> Engine:
@@ -394,23 +394,28 @@ def table_only_split(spark, d):
     return _split(engine)
 
 
-_DSNS = ("/data/a", "/data/a/", "/data//a", "/data/b", "/data/b", "/data/c")
+_DSNS = ("a", "a/", "/a", "b", "b", "c")
 
 
-def _pools():
-    pools = PoolRegistry()
-    for x in _DSNS:
-        pools.get_or_create(x)
-    pools.release("/data/c")
-    return pools
+def _pools(spark, d):
+    """Six databases on three roots; a table is written and read through their pools, then one root is given up."""
+    root = _folder(spark)
+    rule = ShardingRule("r_regionkey", table_strategy=S.NoSharding(), database_strategy=_modulo(6), routers=[Router(f"db{i}", [f"{root}/{x}"]) for i, x in enumerate(_DSNS)])
+    engine = Engine(ShardCatalog(spark, f"{root}/default").add_rule(rule, "region"))
+    engine.write(_read(spark, d, "region"), "region")
+    engine.table("region")
+    pools = engine.catalog.pools
+    assert "region" in pools.pool(f"{root}/a").tables
+    pools.release(f"{root}/c")
+    return {k.replace(root, "/data"): n for k, n in pools.stats().items()}, pools.count()
 
 
 def pool_stats(spark, d):
-    return spark.createDataFrame(sorted(_pools().stats().items()), "root string, refs bigint")
+    return spark.createDataFrame(sorted(_pools(spark, d)[0].items()), "root string, refs bigint")
 
 
 def pool_count(spark, d):
-    return spark.createDataFrame([(_pools().count(),)], "pools bigint")
+    return spark.createDataFrame([(_pools(spark, d)[1],)], "pools bigint")
 
 
 _TRACED = ("SELECT count(*) FROM orders WHERE o_custkey = 5", "SELECT * FROM orders WHERE o_custkey = 5 FOR UPDATE", "DELETE FROM orders WHERE o_custkey = -1", "UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey = -1")

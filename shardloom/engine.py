@@ -135,6 +135,9 @@ class Engine:
         schema = self._stored(self.catalog.schema_of(entry))
         if roots is None:
             roots = self._roots(entry, op, use)[0]
+        known = entry.name, tuple(roots.items())
+        if shards is ALL and known in self.catalog.pools.whole:
+            return self.catalog.pools.whole[known]
         by_root: dict[str, list[int]] = {}
         for db, root in roots.items():
             if shards is ALL or any(d in (None, db) for d, _ in shards):
@@ -146,22 +149,17 @@ class Engine:
                 missing.append(root)
                 continue
             if len(dbs) < len(roots):
-                one = one.where(F.col("_db").isin(dbs))
+                one = one.where(f"_db IN ({', '.join(map(str, dbs))})")
             if shards is not ALL:
-                wanted: dict[int | None, set] = {}
-                for d, t in shards:
-                    wanted.setdefault(d, set()).add(t)
-                cond = F.lit(False)
-                for d, ts in wanted.items():
-                    here = F.lit(True) if d is None else F.col("_db") == d
-                    if None not in ts:
-                        here = here & F.col("_tbl").isin(sorted(ts))
-                    cond = cond | here
-                one = one.where(cond)
+                one = one.where(_shard_filter(shards))
             out = one if out is None else out.unionByName(one)
         if missing and any(self._exists(f"{r}/{entry.name}") for r in self.roots(entry.name)):
             raise ShardingError(f"{', '.join(missing)} does not hold {entry.name}: sync_replicas makes replicas")
-        return self.spark.createDataFrame([], schema) if out is None else out
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        if shards is ALL:
+            self.catalog.pools.whole[known] = out
+        return out
 
     def _listed(self, root: str, table: str, schema: T.StructType) -> DataFrame | None:
         """The table's files under a root, listed once for as long as the root's pool keeps them."""
@@ -495,6 +493,20 @@ class Engine:
         self.refresh(table)
 
 
+def _shard_filter(shards) -> str:
+    """A set of shards as a condition on the partition columns."""
+    wanted: dict[int | None, set] = {}
+    for d, t in shards:
+        wanted.setdefault(d, set()).add(t)
+    parts = []
+    for d, ts in wanted.items():
+        here = [f"_db = {d}"] if d is not None else []
+        if None not in ts:
+            here.append(f"_tbl IN ({', '.join(map(quote, sorted(ts)))})")
+        parts.append(" AND ".join(here) or "true")
+    return " OR ".join(f"({p})" for p in parts) or "false"
+
+
 def _seq(seq):
     it = seq.iterator()
     while it.hasNext():

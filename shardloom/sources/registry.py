@@ -29,6 +29,8 @@ class PoolRegistry:
     def __init__(self):
         self._pools: dict[str, Pool] = {}
         self._others: dict[str, Pool] = {}
+        #: Whole tables by name and roots, put together from the pools.
+        self.whole: dict[tuple, Any] = {}
         self._lock = threading.Lock()
 
     def get_or_create(self, root: str) -> Pool:
@@ -47,6 +49,7 @@ class PoolRegistry:
             pool.references -= 1
             if pool.references <= 0:
                 del self._pools[key]
+                self.whole = {}
 
     def pool(self, root: str) -> Pool:
         """The pool of a root that somebody uses; a pool of its own for one that nobody does (the default root)."""
@@ -59,6 +62,7 @@ class PoolRegistry:
         with self._lock:
             for pool in (*self._pools.values(), *self._others.values()):
                 pool.tables.pop(table, None)
+            self.whole = {k: x for k, x in self.whole.items() if k[0] != table}
 
     def stats(self) -> dict[str, int]:
         """References by root."""

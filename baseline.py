@@ -1,6 +1,7 @@
 """Own baseline figures of the engine, on a table large enough for pruning to tell: one JSON line of median seconds.
 
-BENCH_SF_DIR names the data, BENCH_CPUS the cores, BENCH_COPIES how often orders are repeated (with other order keys).
+BENCH_SF_DIR names the data, BENCH_CPUS the cores, BENCH_COPIES how often orders are repeated (with other order keys);
+with BENCH_LOOKUPS it ends after the lookups.
 """
 
 import json
@@ -55,6 +56,8 @@ def main() -> None:
         timed(f"{name}, pruned", lambda c=cond: drain(engine.sql(f"SELECT * FROM orders WHERE {c}")))
         timed(f"{name}, all shards", lambda c=cond: drain(engine.sql(f"SELECT /*+ nosharding */ * FROM orders WHERE {c}")))
     timed("point lookup, planning only", lambda: engine.sql(f"SELECT * FROM orders WHERE {point}"))
+    if os.environ.get("BENCH_LOOKUPS"):
+        return print(json.dumps({"metric": "own baseline, lookups", "unit": "sec", "rows": n * copies, "cpus": int(cpus), "seconds": took}))
     timed("aggregate over all shards", lambda: drain(engine.sql("SELECT o_orderstatus, count(*), sum(o_totalprice) FROM orders GROUP BY o_orderstatus")))
     timed("aggregate, unsharded", lambda: drain(spark.sql("SELECT o_orderstatus, count(*), sum(o_totalprice) FROM plain_orders GROUP BY o_orderstatus")))
     join = "SELECT c_mktsegment, count(*), sum(o_totalprice) FROM {o} JOIN {c} ON o_custkey = c_custkey GROUP BY c_mktsegment"

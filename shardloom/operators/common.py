@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.match(r"local(\[.*\])?\Z", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not _TEMPORARY:
         _TEMPORARY.append(tempfile.mkdtemp(prefix="shardloom-"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import column, ensure_checkpoint_dir, gathered, spread
+from ..operators.common import column, ensure_checkpoint_dir, spread
 from .words import word_hashes
 
 #: Words of a shingle. Three, not five: single damaged words must not hide a passage of which half is there.
@@ -336,6 +336,11 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     return found
 
 
+def filled(batches):
+    """Batches that have rows; Spark bounds them by bytes, so texts of any length fit."""
+    return (b for b in batches if b.num_rows)
+
+
 def _packed(words: np.ndarray) -> bytes:
     return pa.compress(words.tobytes(), "zstd", asbytes=True)
 
@@ -417,7 +422,7 @@ def _frequencies(encoded: DataFrame, sieve) -> DataFrame:
 
     def run(batches):
         s = sieve.value
-        for t in gathered(batches, 2_048):
+        for t in filled(batches):
             codes = []
             for n, body in zip(column(t, "n").to_pylist(), column(t, "body")):
                 code = shingle_codes(_unpacked(body.as_py(), n))[1]
@@ -485,7 +490,7 @@ def _matched(encoded: DataFrame, blocks: DataFrame, out: T.StructType, share: fl
         return np.concatenate(rows), np.concatenate(to)
 
     def weigh(batches):
-        for t in gathered(batches, 2_048):
+        for t in filled(batches):
             rows, to = routes(t)
             words = np.bincount(to, column(t, "n").to_numpy()[rows], len(sent.value[4])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(words)), pa.array(words[words > 0])], names=["block", "words"])
@@ -503,7 +508,7 @@ def _matched(encoded: DataFrame, blocks: DataFrame, out: T.StructType, share: fl
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, turn = to_arrow_schema(kind), TaskContext.get().partitionId()
-        for t in gathered(batches, 512):
+        for t in filled(batches):
             rows, to = routes(t)
             task = base[to] + (turn + np.arange(len(to))) % salts[to]
             turn += len(to)

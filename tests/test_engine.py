@@ -192,6 +192,7 @@ def test_policies_and_routers():
     assert p.count() == 0
 
 
+# statements and their classes are fixed values
 @pytest.mark.parametrize("sql, op, table", [("SELECT * FROM order_info WHERE id=1", "read", "order_info"), ("delete from `order_info` where id=1", "write", "order_info"), ("INSERT INTO order_info(user_id) VALUES (1)", "write", ""), ("SELECT * FROM db.order_info", "read", ""), ("SELECT 1", "write", ""), ("SELECT * FROM t FOR UPDATE", "write", "t"), ("SELECT * FROM t FOR UPDATE;", "read", "t"), ("SELECT EXTRACT(YEAR FROM ctime) FROM order_info", "read", "ctime")])
 def test_statement_texts(sql, op, table):
     assert operation(sql) == op and table_of(sql) == table
@@ -211,7 +212,8 @@ def compiled(key, **kw):
 
 
 def test_demo_tables():
-    """Placement of the example tables: orders by user, people by id number, regions, monthly logs, users by range."""
+    """Placement of the example tables: orders by user, people by id number, regions, monthly logs, users by range (keys and
+    shards are fixed values)."""
     order = compiled("user_id", table_strategy=_modulo(10), database_strategy=_modulo(4))
     assert [order.place(k) for k in (1001, 2002, 3003, 4004, 5005, 10001)] == [(1, "_1"), (2, "_2"), (3, "_3"), (0, "_4"), (1, "_5"), (1, "_1")]
     person = compiled("id_no", table_strategy=S.NoSharding(), database_strategy=S.CustomStrategy(lambda v: f"_{int(v[-2:]) % 4}"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from shardloom.errors import InvalidKey, ShardingError
 from shardloom.functions import strategies as S
 
+# mappings, bounds, inputs and suffixes below are fixed values
 CITY = S.EnumStrategy({"beijing": "_bj", "shanghai": "_sh", "guangzhou": "_gz"}, "_other")
 RANGE = S.RangeStrategy([0, 1000, 5000, 10000])
 
